@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, chat, decontam, dedup, packing, quality, warc
+from . import binary, chat, decontam, dedup, html, lm, packing, quality, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -33,6 +33,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
@@ -41,6 +45,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_read(spark, sf_dir, "pages")).drop("url", "payload")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.verdicts(docs, quality.learn_trees(docs, _read(spark, sf_dir, "labels")))
@@ -62,9 +70,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_html": op2_html,
     "op3_decontamination": op3_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_packing": op5_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
     "op9_chat": op9_chat,
