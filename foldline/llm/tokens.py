@@ -15,6 +15,8 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A part that may be encoded beside others: one leading space at most, and no combining or rare characters beside it.
 _SIMPLE = re.compile(r" ?[!-~\u00a1-\u024f][ -~\u00a1-\u024f\n]*(?<! )\Z").match
+#: Stem and tail of a part: ASCII punctuation but for the apostrophe, after a letter or digit.
+_TAIL = re.compile(r"([^\n]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~]{1,8})\Z").match
 
 
 class TextEncoder:
@@ -24,37 +26,58 @@ class TextEncoder:
     tokens in a text are ordinary text.  An empty text has no ids.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_200_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         self._plain = Tokenizer.from_file(path)
         self._plain.encode_special_tokens = True
         self._lead = " " if (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" else ""
-        self._glue = "" if self._lead else " "
-        self._keep, self._known, self._first = keep, {}, {}
+        self._keep, self._known, self._first, self._tails = keep, {}, {}, {}
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each part on its own: parts that begin or are parted by a space are encoded together and divided by character offsets."""
         out: list[bytes] = []
         for i in range(0, len(parts), 256):
             some = parts[i : i + 256]
-            if any(not _SIMPLE(p) for p in some):
+            if (self._lead and some[0][0] != " ") or not all(map(_SIMPLE, some)):
                 out += [np.asarray(e.ids, "<u4").tobytes() for e in self._plain.encode_batch(some, add_special_tokens=False)]
                 continue
-            e = self._plain.encode(self._glue.join(some), add_special_tokens=False)
+            glue = "" if some[0][0] == " " else " "
+            e = self._plain.encode(glue.join(some), add_special_tokens=False)
             ids = np.asarray(e.ids, "<u4").tobytes()
             begins = np.fromiter((x[0] for x in e.offsets), np.int64, len(e.offsets))
-            first = np.cumsum([0, *(len(p) + len(self._glue) for p in some)])
+            first = np.cumsum([0, *(len(p) + len(glue) for p in some)])
             at = (np.searchsorted(begins, first) * 4).tolist()
             out += [ids[a:b] for a, b in zip(at, at[1:], strict=False)]
         return out
 
+    def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
+        """Ids of new parts.  A run of punctuation after a letter or digit is a piece of its own, so a part that ends in one
+        is encoded as its stem and its tail, which recur more than the whole."""
+        stems, whole, tails = [], set(), self._tails
+        for p in new:
+            m = _TAIL(p)
+            if m:
+                stems.append((p, m[1], m[2]))
+                if m[1] not in known:
+                    whole.add(m[1])
+                if m[2] not in tails:
+                    tails[m[2]] = np.asarray(self._plain.encode(m[2], add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                whole.add(p)
+        rest = list(whole)
+        known.update(zip(rest, self._encode_parts([lead + p for p in rest]), strict=True))
+        for p, stem, tail in stems:
+            known[p] = known[stem] + tails[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._known) > self._keep:
             self._known.clear()
         if len(self._first) > self._keep // 4:
             self._first.clear()
+        if len(self._tails) > 50_000:
+            self._tails.clear()
         known, first = self._known, self._first
         split = [t.split(" ") for t in texts]
         new = {p for parts in split for p in parts if p not in known}
@@ -66,14 +89,11 @@ class TextEncoder:
                     new.update(p for p in split[k] if p not in known)
             inside = {p for parts in split for p in parts[1:]}
             new = {p for p in new if p in inside}
-        rest = list(new)
-        known.update(zip(rest, self._encode_parts([self._lead + p for p in rest]), strict=True))
+        self._learn(known, new, self._lead)
         if self._lead:
-            rest = list({parts[0] for parts in split if parts[0] and parts[0] not in first})
-            first.update(zip(rest, (np.asarray(e.ids, "<u4").tobytes() for e in self._plain.encode_batch(rest, add_special_tokens=False)), strict=True))
+            self._learn(first, {parts[0] for parts in split if parts[0] and parts[0] not in first}, "")
         else:
-            rest = list({parts[0] for parts in split if parts[0] and parts[0] not in known})
-            known.update(zip(rest, self._encode_parts(rest), strict=True))
+            self._learn(known, {parts[0] for parts in split if parts[0] and parts[0] not in known}, "")
             first = known
         get = known.__getitem__
         return [(first[parts[0]] if parts[0] else b"") + b"".join(map(get, parts[1:])) for parts in split]
