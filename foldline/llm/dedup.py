@@ -295,3 +295,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small
     alone = F.col("doc_id").isNull() | F.col("node").isNull()
     out = out.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (alone | (F.col("doc_id") == F.col("component_id"))).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group of near duplicates does, all columns as they are.
+
+    Of rows with one doc_id one stays; rows without a doc_id, and texts without words, all stay.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **settings)
+    stay = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
+    named = docs.join(stay, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id])
+    return named.unionByName(docs.filter(F.col(doc_id).isNull()))
