@@ -134,7 +134,7 @@ def human_bytes(n: Column) -> Column:
     """Bytes below 1024, else one decimal of the largest unit of 1024 that leaves at least one."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate("KMGTPE", 1):
-        size = F.format_string("%.1f", n.cast("double") / float(1024**k))
+        size = F.format_string("%.1f", F.bround(n.cast("double") / float(1024**k), 1))
         out = F.when(n >= F.lit(1024**k), F.concat(size, F.lit(f" {unit}iB"))).otherwise(out)
     return out
 

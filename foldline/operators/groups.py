@@ -34,7 +34,7 @@ def agreeing_groups(df: DataFrame, *, keys: list[str], ts: str, voter: Column, d
     at = F.when(voter, F.col(ts))
     named = F.when(voter, F.nullif(F.col(device), F.lit("")))
     agg = df.groupBy(*keys).agg(F.count("*").alias("members"), F.min(at).alias("lo"), F.max(at).alias("hi"), F.min(named).alias("d0"), F.max(named).alias("d1"))
-    span = (F.unix_micros("hi") - F.unix_micros("lo")) / F.lit(1_000_000.0)
+    span = (F.unix_micros(F.col("hi").cast("timestamp")) - F.unix_micros(F.col("lo").cast("timestamp"))) / F.lit(1_000_000.0)
     return agg.filter((F.col("members") >= 2) & (span <= window_seconds) & (F.coalesce(F.col("d0"), F.lit("")) == F.coalesce(F.col("d1"), F.lit("")))).select(*keys, "members")
 
 

@@ -11,7 +11,7 @@ from ..schema import SPAN_SECONDS
 
 
 def _seconds(c: Column) -> Column:
-    return F.unix_micros(c) / F.lit(1_000_000.0)
+    return F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000.0)
 
 
 def gap_sessions(df: DataFrame, *, ts: str, gap_seconds: float, keys: list[str] | None = None, order: list[str] | None = None, out: str = "session") -> DataFrame:

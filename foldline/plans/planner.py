@@ -14,6 +14,7 @@ from ..operators.naming import unique_targets
 from ..operators.nearest import fold_anchors
 from ..operators.sessions import gap_sessions, name_unlocated, session_starts
 from ..schema import SIDECAR, VIDEO, PlanConfig
+from ..sources.shared import cut
 from . import places as P
 
 UNKNOWN_PLACE = "Unknown"
@@ -92,6 +93,7 @@ def plan(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     df = df.withColumn("location", case_name(F.col("location"))).withColumn("device", case_name(F.col("device")))
     df = df.withColumn("keep_place", F.lit(False)).withColumn("day_range", F.lit(None).cast("string"))
 
+    df = cut(df, "sessions")
     collapsing = {n: level_value(n, cfg) for n in levels if n in ("device", "orientation", "media")}
     skip = uninformative(df, collapsing) if cfg.collapse_levels else set()
     shown = [n for n in levels if n not in skip]
@@ -105,6 +107,7 @@ def plan(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
         df = parent_flag(df, parent="_parent", when=plain_row & (value != ""), out="_located")
         unknown = plain_row & ~F.col("at_saved_place") & (value == "") & F.col("_located")
         df = df.withColumn("location", F.when(unknown, UNKNOWN_PLACE).otherwise(F.col("location"))).drop("_located", "_parent")
+        df = cut(df, "located")
     if cfg.merge_days and "date" in levels and ("location" not in levels or levels.index("date") < levels.index("location")):
         votes = dated & ~times.crosses_month(F.col("taken_wall"), _folder_time())
         df = df.withColumn("_m", F.when(votes, F.date_format(_folder_time(), "yyyy-MM"))).withColumn("_d", F.dayofmonth("taken_wall"))
@@ -119,7 +122,7 @@ def plan(df: DataFrame, cfg: PlanConfig = PlanConfig()) -> DataFrame:
     else:
         df = df.withColumn("location_dir", F.lit(None).cast("string"))
     df = df.withColumn("folder_taken_at", F.when(dated, _folder_time()))
-    df = share_captures(df)
+    df = cut(share_captures(cut(df, "folders")), "captures")
     named = unique_targets(df, directory="directory", name="file_name", order=["taken_at", "file_dir", "file_name", "file_id"])
     return named
 
