@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 
@@ -17,6 +18,10 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SIMPLE = re.compile(r" ?[!-~\u00a1-\u024f][ -~\u00a1-\u024f\n]*(?<! )\Z").match
 #: Stem and tail of a part: ASCII punctuation but for the apostrophe, after a letter or digit.
 _TAIL = re.compile(r"([^\n]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~]{1,8})\Z").match
+#: Letters of the Latin blocks, but for the one whose lower case isn't a letter alone.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+\Z").match
+#: Bytes as byte-level vocabularies spell them.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class TextEncoder:
@@ -33,8 +38,22 @@ class TextEncoder:
         self._plain = Tokenizer.from_file(path)
         self._plain.encode_special_tokens = True
         self._lead = " " if (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" else ""
+        self._fold = not self._lead
+        self._break = np.asarray(self._plain.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
         self._keep, self._known, self._first, self._tails = keep, {}, {}, {}
 
+    def _letters(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of parts that are letters alone: each is one piece for either vocabulary, so the library's model is asked at once."""
+        out, ask = [], self._plain.model.tokenize
+        for w in words:
+            if self._fold:
+                w = w.lower()
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(_BYTES)
+            ids = [t.id for t in ask(lead + w)]
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
+
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each part on its own: parts that begin or are parted by a space are encoded together and divided by character offsets."""
         out: list[bytes] = []
@@ -55,8 +74,13 @@ class TextEncoder:
     def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
         """Ids of new parts.  A run of punctuation after a letter or digit is a piece of its own, so a part that ends in one
         is encoded as its stem and its tail, which recur more than the whole."""
-        stems, whole, tails = [], set(), self._tails
+        stems, whole, tails, lines = [], set(), self._tails, []
         for p in new:
+            if "\n" in p:
+                parts = p.split("\n")
+                if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+                    lines.append((p, parts))
+                    continue
             m = _TAIL(p)
             if m:
                 stems.append((p, m[1], m[2]))
@@ -66,10 +90,18 @@ class TextEncoder:
                     tails[m[2]] = np.asarray(self._plain.encode(m[2], add_special_tokens=False).ids, "<u4").tobytes()
             else:
                 whole.add(p)
-        rest = list(whole)
+        words = [p for p in whole if _LETTERS(p)]
+        known.update(zip(words, self._letters(words, "\u0120" if lead else ""), strict=True))
+        rest = list(whole.difference(words))
         known.update(zip(rest, self._encode_parts([lead + p for p in rest]), strict=True))
         for p, stem, tail in stems:
             known[p] = known[stem] + tails[tail]
+        if lines:  # a single line end between other characters is a piece of its own, or none
+            first = self._first if self._lead else known
+            self._learn(known, {parts[0] for _, parts in lines if parts[0] not in known}, lead)
+            self._learn(first, {x for _, parts in lines for x in parts[1:] if x not in first}, "")
+            for p, parts in lines:
+                known[p] = self._break.join([known[parts[0]], *(first[x] for x in parts[1:])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._known) > self._keep:
