@@ -63,7 +63,7 @@ class Writer:
     def __init__(self, path: str, width: int, block: int = BLOCK):
         self._fs, at = filesystem(path)
         self._fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        self._out = self._fs.open_output_stream(at)
+        self._out = self._fs.open_output_stream(at, compression=None)
         self._width, self._block, self._rest, self._held = width, block, [], 0
         self._docs, self._null, self._starts, self._offsets, self.ids = [], [], [], [], 0
         self._at = self._out.write(MARK + struct.pack("<II", width, block))

@@ -78,7 +78,7 @@ class Archive:
     def __init__(self, path: str, level: int = 3, sample: int = 1 << 20, size: int = 32 << 10):
         fs, at = filesystem(path)
         fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-        self._out, self._level, self._sample, self._size = fs.open_output_stream(at), level, sample, size
+        self._out, self._level, self._sample, self._size = fs.open_output_stream(at, compression=None), level, sample, size
         self._held, self._bytes, self._press, self.records = [], 0, None, 0
 
     def add(self, body: bytes) -> None:
@@ -109,7 +109,7 @@ class Archive:
 def read_archive(path: str, chunk: int = 1 << 16) -> Iterator[bytes]:
     """The records of an archive, one at a time."""
     fs, at = filesystem(path)
-    with fs.open_input_stream(at) as f:
+    with fs.open_input_stream(at, compression=None) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{path} has no dictionary frame")
