@@ -254,9 +254,11 @@ def fold(tree):
     """The same tree with constant parts worked out and neighbouring constant output joined."""
     if isinstance(tree, list):
         out: list = []
-        for node in map(fold, tree):
+        todo = [fold(x) for x in reversed(tree)]
+        while todo:
+            node = todo.pop()
             if node[0] == "if" and node[1][0] == "const":
-                out += node[2] if node[1][1] else node[3]
+                todo += reversed(node[2] if node[1][1] else node[3])
             elif node[0] == "put" and node[1][0] == "const":
                 s = _text(node[1][1])
                 if out and out[-1][0] == "put" and out[-1][1][0] == "const":
