@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,37 +93,16 @@ def case_name(name: Column) -> Column:
     return F.array_join(F.transform(words, title), "")
 
 
-def strip_accents(x: Column) -> Column:
-    """Without combining marks: decomposed, marks dropped, composed again."""
-    return _strip(x)
-
-
-def _make_strip():
-    import unicodedata
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+def _strip(s: pd.Series) -> pd.Series:
+    def one(v: str) -> str:
+        return v if v.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", v) if unicodedata.category(c) != "Mn"))
 
-    @pandas_udf("string")
-    def strip(s: pd.Series) -> pd.Series:
-        def one(v):
-            if v is None or v.isascii():
-                return v
-            return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", v) if unicodedata.category(c) != "Mn"))
+    return s.map(one, na_action="ignore")
 
-        return s.map(one, na_action="ignore")
 
-    return strip
-
-
-_udf = None
-
-
-def _strip(x: Column) -> Column:
-    global _udf
-    if _udf is None:
-        _udf = _make_strip()
-    return _udf(x)
+def strip_accents(x: Column) -> Column:
+    """Without combining marks: decomposed, marks dropped, composed again.  Spark has no such function; this one works on Arrow batches."""
+    return F.pandas_udf(_strip, "string")(x)
 
 
 def trigrams(x: Column) -> Column:

@@ -106,3 +106,24 @@ def test_propose_end_to_end(spark, places):
     m = m.withColumn("file_modified_at", F.lit("2024-08-02T12:00:00.000000000Z")).withColumn("is_screenshot", F.lit(False))
     got = {r["file_id"]: r["target_path"] for r in propose(m, PlanConfig(saved_places=("Shimla",)), places).collect()}
     assert got == {1: "2024/08_August/02/Hyderabad-India/a.jpg", 2: "2024/08_August/02/Shimla/b.jpg", 3: "2024/08_August/02/Unknown/c.jpg"}
+
+
+def test_whole_run(spark, tmp_path):
+    import datetime as dt
+
+    from foldline.plans import catalogue
+
+    for name, body in (("dcim/IMG_1.jpg", "same"), ("Goa Trip/sunset.jpg", "same"), ("b.jpg", "other!")):
+        p = tmp_path / "p" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    s = store.Store(spark, f"file://{tmp_path}/s")
+    docs = spark.createDataFrame([(str(tmp_path / "p"), "b.jpg", '{"DateTimeOriginal":"2024:08:02 10:00:00","Make":"Canon"}')], "file_dir string, file_name string, document string")
+    now = dt.datetime(2024, 9, 1)
+    assert catalogue.run(s, [str(tmp_path / "p")], docs, PlanConfig(merge_days=False), now=now) == {"files": 3, "groups": 1, "entries": 2}
+    masters = {r["file_name"] for r in catalogue.live_masters(s).collect()}
+    assert masters == {"sunset.jpg", "b.jpg"}
+    targets = {r["target_path"] for r in s.read("entries").collect()}
+    assert "2024/08_August/02/b.jpg" in targets
+    catalogue.approve(s, catalogue.review(s))
+    assert {r["status"] for r in s.read("entries").collect()} == {"APPROVED"}
