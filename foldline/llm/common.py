@@ -61,7 +61,7 @@ class Scratch:
     """Tables written in the shared folder: each cuts its lineage and survives the loss of an executor."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.labels = spark, {}, ""
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = new_path(self.spark, name)

@@ -203,6 +203,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         labels = new.select("node", "label")
         if not moved:
             scratch.drop(f"{name}-edges")
+            scratch.labels = f"{name}-{k}"
             return labels
 
 
@@ -288,6 +289,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small
         hot = scratch.keep(hot.join(lone.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").join(lone.select("key").distinct(), "key", "left_semi"), f"hot-{tried}")
         any_hot = hot.limit(1).count() > 0
 
+    scratch.drop(*(n for n in list(scratch.paths) if n not in ("signatures", "classes", scratch.labels)))
     named = classes.select("node", "first", "class_size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least_id = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(least_id, "label").select("node", "component_id", "class_size")

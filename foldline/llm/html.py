@@ -91,8 +91,7 @@ class Page:
                 elif tag in LEAF:
                     close()
                     leaf = ""
-                    hidden = [k for k, (t, _) in enumerate(stack) if t == tag]
-                    if hidden and stack[-1][0] == tag:
+                    if stack[-1][0] == tag:
                         stack.pop()
                 continue
             if tag in RAW:
@@ -107,7 +106,7 @@ class Page:
             elif tag in CONTAINER or tag in LEAF:
                 close()
                 in_link = 0
-                if stack[-1][0] in LEAF and (tag in CONTAINER or tag in LEAF):
+                if stack[-1][0] in LEAF:
                     if not (stack[-1][0] in ("li", "td", "th", "dd", "blockquote") and tag in ("p", "ul", "ol", "div", "table", "blockquote", "h2", "h3", "h4", "dl", "figure", "section")):
                         stack.pop()
                 leaf = tag if tag in LEAF else ""
@@ -150,7 +149,7 @@ class Page:
                 if key in ("class", "id"):
                     words = _WORDS.findall(value)
                     low = {w.lower() for w in words}
-                    noise = noise or bool(low & NOISE_WORDS)
+                    noise = noise or bool(low & NOISE_WORDS) or ("header" in low and tag in CONTAINER and not low & GOOD_WORDS)
                     good = good or bool(low & GOOD_WORDS)
                     if key == "class":
                         names += sorted({re.sub(r"\d+", "#", x.lower()) for x in value.split()})
