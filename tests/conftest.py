@@ -15,6 +15,7 @@ def spark():
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.adaptive.enabled", "false")
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.ui.enabled", "false")
