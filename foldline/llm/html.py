@@ -2,7 +2,7 @@
 
 Every page is parsed into containers, whose generalised tag-class paths are scored by their text.  A page votes for the path
 of its best container; Spark counts the votes of each host; pages are then extracted again with their host's winning path,
-or with their own best where they don't have that path.
+or with their own best where they don't have that path or have text outside it.
 """
 
 from __future__ import annotations
@@ -34,16 +34,19 @@ NOISE_WORDS = frozenset(
     "breadcrumb breadcrumbs pagination pager footer masthead toolbar share sharing social related recommended recommendations comment comments "
     "disqus discussion reply replies respond reader login search form copyright disclaimer skip topbar".split()
 )
+LISTS = frozenset("ul ol dl table thead tbody tfoot tr".split())
+#: A block of which less is outside links is part of a link list (headings aside).
+LINKS = 0.2
 GOOD_WORDS = frozenset("article content post entry story main body text".split())
 
 
 class Page:
     """Blocks of a page and the containers they lie in."""
 
-    __slots__ = ("blocks", "parent", "label", "noise", "good")
+    __slots__ = ("blocks", "parent", "label", "noise", "undivided")
 
     def __init__(self, source: str):
-        self.parent, self.label, self.noise, self.good = [-1], [""], [False], [False]
+        self.parent, self.label, self.noise, self.undivided = [-1], [""], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
 
@@ -59,7 +62,7 @@ class Page:
                 body = " ".join(unescape("".join(text)).split())
                 node = stack[-1][1]
                 if body and (not self.noise[node] or (leaf in HEADINGS and self._titled(node))):
-                    self.blocks.append((node, body, linked))
+                    self.blocks.append((node, body, 0 if leaf in HEADINGS else linked))
                 text.clear()
             linked = 0
 
@@ -110,12 +113,12 @@ class Page:
                     if not (stack[-1][0] in ("li", "td", "th", "dd", "blockquote") and tag in ("p", "ul", "ol", "div", "table", "blockquote", "h2", "h3", "h4", "dl", "figure", "section")):
                         stack.pop()
                 leaf = tag if tag in LEAF else ""
-                label, noise, good = self._kind(tag, m[3], stack)
+                label, noise, undivided = self._kind(tag, m[3], stack)
                 if tag in CONTAINER or noise:
                     self.parent.append(stack[-1][1])
                     self.label.append(label)
                     self.noise.append(noise or self.noise[stack[-1][1]])
-                    self.good.append(good)
+                    self.undivided.append(undivided)
                     stack.append((tag, len(self.parent) - 1))
                 elif tag in ("li", "td", "th", "dd", "blockquote"):
                     stack.append((tag, stack[-1][1]))
@@ -141,7 +144,7 @@ class Page:
         return False
 
     def _kind(self, tag: str, attrs: str, stack: list) -> tuple[str, bool, bool]:
-        label, noise, good = tag, tag in NOISE_TAGS or tag in ("header", "form"), tag in ("article", "main")
+        label, noise, undivided = tag, tag in NOISE_TAGS or tag in ("header", "form"), tag in ("article", "main")
         if attrs and "=" in attrs or "hidden" in attrs:
             names: list[str] = []
             for m in _ATTR.finditer(attrs):
@@ -150,21 +153,20 @@ class Page:
                     words = _WORDS.findall(value)
                     low = {w.lower() for w in words}
                     noise = noise or bool(low & NOISE_WORDS) or ("header" in low and tag in CONTAINER and not low & GOOD_WORDS)
-                    good = good or bool(low & GOOD_WORDS)
                     if key == "class":
                         names += sorted({re.sub(r"\d+", "#", x.lower()) for x in value.split()})
                 elif key == "role":
                     noise = noise or value.lower() in NOISE_ROLES
-                    good = good or value.lower() in ("main", "article")
+                    undivided = undivided or value.lower() in ("main", "article")
                 elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value.lower() == "true":
                     noise = True
-                elif key == "itemprop" and value.lower() == "articlebody":
-                    good = True
+                elif key == "itemprop" and "articlebody" in value.lower().split():
+                    undivided = True
             if names:
                 label = ".".join((tag, *names))
         if tag in ("body", "html", "main", "article") and not attrs.strip().lower().startswith("hidden"):
             noise = tag == "article" and noise
-        return label, noise, good and not noise
+        return label, noise, undivided
 
     def path(self, node: int) -> str:
         out = []
@@ -174,34 +176,50 @@ class Page:
         return ">".join(reversed(out))
 
     def best(self) -> tuple[int, float]:
-        """The deepest container that still holds most of its parents' good text, and that text's score."""
-        own = [0.0] * len(self.parent)
+        """The deepest container (or the first of several of one path) outside which only link lists are left, and its text's score.
+
+        An article, a list or a table is never divided, as what lies beside one of its parts belongs to it.
+        """
+        own, solid = [0.0] * len(self.parent), [0] * len(self.parent)
         for node, body, linked in self.blocks:
             share = 1 - min(1.0, linked / max(1, len(body)))
             own[node] += len(body) * share * share * (1.25 if body[-1:] in ".!?…\"" else 1.0)
+            solid[node] += 0 if share < LINKS else len(body)
         for node in range(len(own) - 1, 0, -1):
             own[self.parent[node]] += own[node]
+            solid[self.parent[node]] += solid[node]
         children: dict[int, list[int]] = {}
         for node in range(1, len(own)):
             children.setdefault(self.parent[node], []).append(node)
-        at = 0
-        while children.get(at):
-            top = max(children[at], key=lambda n: (own[n] * (1.6 if self.good[n] else 1.0), -n))
-            same = sum(own[n] for n in children[at] if self.label[n] == self.label[top])
-            if own[at] <= 0 or same < (0.4 if self.good[top] else 0.75) * own[at]:
+        at = [0]
+        while not any(self.undivided[n] for n in at):
+            below: dict[str, list[int]] = {}
+            for n in at:
+                for child in children.get(n, ()):
+                    below.setdefault(self.label[child], []).append(child)
+            left = sum(solid[n] for n in at)
+            whole = [x for x in below.values() if left and sum(solid[n] for n in x) == left]
+            if not whole or self.label[whole[0][0]].split(".")[0] in LISTS:
                 break
-            at = top
-        return at, own[at]
+            at = whole[0]
+        return at[0], sum(own[n] for n in at)
 
-    def text(self, path: str) -> str:
-        """The blocks in containers of that path, in page order, one a line."""
-        hit = [False] * len(self.parent)
+    def _under(self, path: str) -> list[bool]:
+        hit = [not path] * len(self.parent)
         for node in range(1, len(self.parent)):
             hit[node] = hit[self.parent[node]] or self.path(node) == path
-        if not path:
-            hit = [True] * len(self.parent)
+        return hit
+
+    def text(self, path: str) -> str:
+        """The blocks in containers of that path, in page order, one a line."""
+        hit = self._under(path)
         return "\n".join(b for n, b, _ in self.blocks if hit[n])
 
+    def holds(self, path: str) -> bool:
+        """Whether only link lists are left outside containers of that path."""
+        hit = self._under(path)
+        return all(hit[n] or len(b) - linked < LINKS * len(b) for n, b, linked in self.blocks)
+
     def paths(self) -> set[str]:
         return {self.path(n) for n in range(len(self.parent))}
 
@@ -248,7 +266,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
         got = []
         for source, winner in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             page = Page(source or "")
-            body = page.text(winner) if winner else ""
+            body = page.text(winner) if winner and page.holds(winner) else ""
             got.append(body or page.text(page.path(page.best()[0])))
         return {"page_id": b.column(0), "url": b.column(1), "text": got, "n_chars": [len(x) for x in got]}
 

@@ -41,3 +41,17 @@ def test_hosts_agree(spark):
         assert r["text"] == best(by_id[r["page_id"]]) and r["n_chars"] == len(r["text"])
     host = consensus(votes(pages.selectExpr("'h' AS host", "html"))).collect()
     assert len(host) == 1 and host[0]["winner"].endswith("article")
+
+
+def test_nothing_beside_the_best_is_lost(spark):
+    intro, body = "An introduction of some length. " * 9, "What the page is about in all its length. " * 9
+    for around in ("article", "div", "main"):
+        assert best(f'<{around}><header></header><h1>Title</h1><div class="entry-content"><p>{body}</div></{around}>') == f"Title\n{body.strip()}"
+        assert best(f'<{around}><div class="intro">{intro}</div><div class="body">{body}</div></{around}>') == f"{intro.strip()}\n{body.strip()}"
+        assert best(f"<{around}><h1>T</h1><p>intro<ul><li>{body}<li>{body}</ul></{around}>") == f"T\nintro\n{body.strip()}\n{body.strip()}"
+        assert best(f"<{around}><p>intro<table><tr><td>{body}</td></tr></table><p>end</{around}>") == f"intro\n{body.strip()}\nend"
+    assert best(f'<article><header><h1>Title</h1></header><div class="entry-content"><p>{body}</div></article>') == f"Title\n{body.strip()}"
+    assert best(f"<div><ul><li><a href=x>Home</a><li><a href=y>More</a></ul></div><div class=a>{body}</div><div class=a>{intro}</div>") == f"{body.strip()}\n{intro.strip()}"
+    plain, more = f"<div class=a><p>{body}</div>", f"<p>{intro}</p><div class=a><p>{body}</div>"
+    df = spark.createDataFrame([(i, "http://h.example/", plain if i else more) for i in range(4)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(df).collect()} == {i: body.strip() if i else f"{intro.strip()}\n{body.strip()}" for i in range(4)}
