@@ -8,6 +8,7 @@ or with their own best where they don't have that path or have text outside it.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption c
 CONTAINER = frozenset("html body article main section div nav aside header footer form table tbody thead tfoot tr ul ol dl figure details dialog fieldset center menu hgroup search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_TAGS = frozenset("nav aside footer dialog menu search head".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay newsletter subscribe subscription signup paywall sidebar aside widget widgets menu nav navbar navigation "
@@ -38,19 +39,47 @@ LISTS = frozenset("ul ol dl table thead tbody tfoot tr".split())
 #: A block of which less is outside links is part of a link list (headings aside).
 LINKS = 0.2
 GOOD_WORDS = frozenset("article content post entry story main body text".split())
+#: Words that say nothing about what a class is for.
+NEUTRAL = frozenset(
+    "box wrap wrapper container area block section list item items inner outer top bottom left right site page blog home global group holder panel "
+    "bar row col column div unit slot zone region module component link links button buttons primary secondary sticky fixed mobile desktop email "
+    "google gpt js wp id posts articles stories news".split()
+)
+#: Noise by their class, but a subject of its own as the id of a section.
+TOPICS = frozenset(
+    "advertising sponsor promotion consent notice notices notification alert subscription share sharing social related recommended recommendations "
+    "discussion reply replies respond reader login search form copyright disclaimer".split()
+)
+#: Besides containers, elements that can hold others and be noise by their class.
+HOLDERS = frozenset("li dd td th blockquote".split())
+#: Noise by class, id or form is outweighed by what the page holds; other noise is not.
+SOFT, HARD = 1, 2
+
+
+@lru_cache(1 << 16)
+def purpose(token: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id as a whole names noise, noise that is no topic, and content."""
+    words = {w.lower() for w in _WORDS.findall(token) if len(w) > 1}
+    bad = words & NOISE_WORDS
+    noise = bool(bad) and words <= NOISE_WORDS | NEUTRAL | GOOD_WORDS or words - NEUTRAL == {"header"} and "page" not in words
+    return noise, noise and not bad <= TOPICS, bool(words & GOOD_WORDS) and words <= GOOD_WORDS | NEUTRAL
 
 
 class Page:
     """Blocks of a page and the containers they lie in."""
 
-    __slots__ = ("blocks", "parent", "label", "noise", "undivided")
+    __slots__ = ("blocks", "parent", "label", "noise", "undivided", "good", "own")
 
     def __init__(self, source: str):
-        self.parent, self.label, self.noise, self.undivided = [-1], [""], [False], [False]
+        self.parent, self.label, self.noise, self.undivided, self.good, self.own = [-1], [""], [False], [False], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
-        self._parse(source)
+        headings = self._parse(source)
+        self._settle()
+        self.blocks = [b for k, b in enumerate(self.blocks) if not self.noise[b[0]] or (k in headings and self._titled(b[0]))]
 
-    def _parse(self, source: str) -> None:
+    def _parse(self, source: str) -> set[int]:
+        """All blocks, those in noise too; gives the numbers of headings."""
+        headings: set[int] = set()
         stack: list[tuple[str, int]] = [("", 0)]
         text: list[str] = []
         linked, in_link, leaf, at = 0, 0, "", 0
@@ -61,7 +90,9 @@ class Page:
             if text:
                 body = " ".join(unescape("".join(text)).split())
                 node = stack[-1][1]
-                if body and (not self.noise[node] or (leaf in HEADINGS and self._titled(node))):
+                if body:
+                    if leaf in HEADINGS:
+                        headings.add(len(self.blocks))
                     self.blocks.append((node, body, 0 if leaf in HEADINGS else linked))
                 text.clear()
             linked = 0
@@ -113,25 +144,66 @@ class Page:
                     if not (stack[-1][0] in ("li", "td", "th", "dd", "blockquote") and tag in ("p", "ul", "ol", "div", "table", "blockquote", "h2", "h3", "h4", "dl", "figure", "section")):
                         stack.pop()
                 leaf = tag if tag in LEAF else ""
-                label, noise, undivided = self._kind(tag, m[3], stack)
-                if tag in CONTAINER or noise:
+                label, own, undivided, good = self._kind(tag, m[3])
+                if tag in CONTAINER or own:
                     self.parent.append(stack[-1][1])
                     self.label.append(label)
-                    self.noise.append(noise or self.noise[stack[-1][1]])
+                    self.own.append(own)
                     self.undivided.append(undivided)
+                    self.good.append(good)
                     stack.append((tag, len(self.parent) - 1))
                 elif tag in ("li", "td", "th", "dd", "blockquote"):
                     stack.append((tag, stack[-1][1]))
-            elif m[3] and self._kind(tag, m[3], stack)[1]:  # an inline element that is noise by its class
+            elif m[3] and self._kind(tag, m[3])[1]:  # an inline element that is hidden or noise by its role
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 if end and "<" not in source[at : end.start()]:
                     at = end.end()
         close()
+        return headings
+
+    def _settle(self) -> None:
+        """Which containers are noise, now that it is known where the page's text lies."""
+        n, parent, own = len(self.parent), self.parent, self.own
+        hard = [False] * n
+        for node in range(1, n):
+            hard[node] = own[node] == HARD or hard[parent[node]]
+        mass = [0] * n
+        for node, body, linked in self.blocks:
+            if not hard[node] and len(body) - linked >= LINKS * len(body):
+                mass[node] += len(body)
+        alone = mass.copy()
+        for node in range(n - 1, 0, -1):
+            mass[parent[node]] += mass[node]
+        noise, kept = [False] * n, 0
+        for node in range(1, n):
+            noise[node] = noise[parent[node]] or own[node] == HARD
+            if own[node] == SOFT and not noise[node]:
+                most = 2 * mass[node] > mass[0]
+                if most and (mass[node] == kept or self.label[node].split(".")[0] == "form" or self._only(node, alone, mass[node])):
+                    own[node], kept = 0, mass[node]
+                noise[node] = own[node] == SOFT
+        if not any(not noise[node] for node, _, _ in self.blocks):  # nothing but forms and classes holds the page's text
+            noise = hard
+            self.own = [x if x == HARD else 0 for x in own]
+        self.noise = noise
+
+    def _only(self, node: int, alone: list[int], mass: int) -> bool:
+        """Whether there is no article, and next to nothing in good containers, outside a container."""
+        inside, where, beside = [False] * len(alone), [0] * len(alone), 0
+        for k in range(1, len(alone)):
+            up = self.parent[k]
+            inside[k] = inside[up] or k == node or self.own[k] > 0
+            where[k] = max(where[up], 2 if self.undivided[k] else int(self.good[k]))
+            if not inside[k] and alone[k]:
+                if where[k] == 2:
+                    return False
+                beside += where[k] * alone[k]
+        return 10 * beside < mass
 
     def _titled(self, node: int) -> bool:
         """A header inside an article keeps its headings."""
         while node >= 0 and self.noise[node]:
-            if self.label[node].split(".")[0] != "header":
+            if self.own[node] and self.label[node].split(".")[0] != "header":
                 return False
             node = self.parent[node]
         return node > 0 and self.inside(node)
@@ -143,19 +215,25 @@ class Page:
             node = self.parent[node]
         return False
 
-    def _kind(self, tag: str, attrs: str, stack: list) -> tuple[str, bool, bool]:
-        label, noise, undivided = tag, tag in NOISE_TAGS or tag in ("header", "form"), tag in ("article", "main")
+    def _kind(self, tag: str, attrs: str) -> tuple[str, int, bool, bool]:
+        """Label, own noise, whether an article, and whether its class or id names content."""
+        label, undivided, named, good = tag, tag in ("article", "main"), tag == "form", False
+        noise = tag in NOISE_TAGS or tag == "header"
         if attrs and "=" in attrs or "hidden" in attrs:
             names: list[str] = []
             for m in _ATTR.finditer(attrs):
                 key, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
                 if key in ("class", "id"):
-                    words = _WORDS.findall(value)
-                    low = {w.lower() for w in words}
-                    noise = noise or bool(low & NOISE_WORDS) or ("header" in low and tag in CONTAINER and not low & GOOD_WORDS)
+                    if tag in CONTAINER or tag in HOLDERS:
+                        topical = tag in HOLDERS or key == "id" and (tag == "section" or re.search(r"\bsection\b", attrs) is not None)
+                        for token in value.split():
+                            bad, anyhow, fine = purpose(token)
+                            named = named or (anyhow if topical else bad)
+                            good = good or fine
                     if key == "class":
                         names += sorted({re.sub(r"\d+", "#", x.lower()) for x in value.split()})
                 elif key == "role":
+                    named = named or value.lower() == "form"
                     noise = noise or value.lower() in NOISE_ROLES
                     undivided = undivided or value.lower() in ("main", "article")
                 elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value.lower() == "true":
@@ -164,9 +242,10 @@ class Page:
                     undivided = True
             if names:
                 label = ".".join((tag, *names))
-        if tag in ("body", "html", "main", "article") and not attrs.strip().lower().startswith("hidden"):
-            noise = tag == "article" and noise
-        return label, noise, undivided
+        if tag in ("body", "html", "main") and not attrs.strip().lower().startswith("hidden"):
+            noise = False
+        own = HARD if noise else SOFT if named and not (good or undivided or tag in ("body", "html")) else 0
+        return label, own, undivided, good
 
     def path(self, node: int) -> str:
         out = []

@@ -55,3 +55,22 @@ def test_nothing_beside_the_best_is_lost(spark):
     plain, more = f"<div class=a><p>{body}</div>", f"<p>{intro}</p><div class=a><p>{body}</div>"
     df = spark.createDataFrame([(i, "http://h.example/", plain if i else more) for i in range(4)], "page_id long, url string, html string")
     assert {r["page_id"]: r["text"] for r in extract(df).collect()} == {i: body.strip() if i else f"{intro.strip()}\n{body.strip()}" for i in range(4)}
+
+
+def test_noise_words_do_not_outweigh_content():
+    body = "What the page is about in all its length. " * 9
+    text = body.strip()
+    for kind in ("content has-sidebar", "post-content no-comments", "content sidebar", "sidebar-layout", "widget", "content-sidebar-wrap"):
+        assert best(f'<body><div class="{kind}"><p>{body}</div><footer>f</footer></body>') == text
+        assert best(f'<body><div class="{kind}"><article><p>{body}</article></div><div class="ad">BUY</div></body>') == text
+    assert best(f'<article class="post tag-social"><p>{body}</article><div class="ad">BUY</div>') == text
+    assert best(f'<article class="comments"><p>{body}</article><div class="ad">BUY</div>') == text
+    assert best(f'<h1>T</h1><section id="intro"><p>{body}</section><section id="discussion"><h2>Discussion</h2><p>{body}</section>') == f"T\n{text}\nDiscussion\n{text}"
+    assert best(f'<article><h2 id="related-work">Related work</h2><p class="notice">{body}</p><p>a <b class="reply">reply</b> here</article>') == f"Related work\n{text}\na reply here"
+    assert best(f'<body><form id="aspnetForm"><div class="nav-bar">n</div><p>{body}</form></body>') == text
+    assert best(f'<form><div class="comments"><p>{body}</div><div class="content"><p>{text}</div></form>') == text
+    assert best('<div class="comments"><p>one</div><div class="comments"><p>two</div><div class="comments"><p>three</div><nav>n</nav>') == "one\ntwo\nthree"
+    assert best(f'<article><header><div class="titles"><h1>T</h1></div></header><p>{body}</article>') == f"T\n{text}"
+    for kind in ("comments", "sidebar", "related-posts", "ad-box", "cookie-notice", "site-header", "comment-body", "main-menu"):
+        assert best(f'<article><p>short text</article><div class="{kind}">{body}</div>') == "short text"
+        assert best(f'<div class="entry"><p>{body}</div><div id="{kind}">{body}</div>') == text
