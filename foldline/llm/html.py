@@ -23,7 +23,9 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is raw text up to their own end tag.
-RAW = frozenset("script style noscript template textarea title svg iframe select button canvas object math xmp noembed".split())
+RAW = frozenset("script style textarea title".split())
+#: Their content is no text of the page, unless they are left open until their parent ends.
+MUTE = frozenset("noscript template svg iframe select button canvas object xmp noembed annotation annotation-xml".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption summary address legend".split())
 CONTAINER = frozenset("html body article main section div nav aside header footer form table tbody thead tfoot tr ul ol dl figure details dialog fieldset center menu hgroup search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -84,6 +86,9 @@ class Page:
         text: list[str] = []
         linked, in_link, leaf, at = 0, 0, "", 0
         scan = _TAG.search
+        muted: list[tuple[str, int]] = []  # the open MUTE element and what is open in it, with where they began
+        open_ended: set[int] = set()  # where MUTE elements begin that have no end
+        before = 0  # where the content of the outermost begins
 
         def close() -> None:
             nonlocal linked
@@ -97,12 +102,17 @@ class Page:
                 text.clear()
             linked = 0
 
-        while at < len(source):
+        while at < len(source) or muted:
             m = scan(source, at)
+            if muted and (not m or (m[1] and self._ends(m[2].lower(), muted, stack, leaf))):
+                open_ended.update(x for t, x in muted if t in MUTE)
+                muted.clear()
+                at = before
+                continue
             if not m:
                 text.append(source[at:])
                 break
-            if m.start() > at:
+            if m.start() > at and not muted:
                 piece = source[at : m.start()]
                 text.append(piece)
                 if in_link:
@@ -111,6 +121,25 @@ class Page:
             if not m[2]:
                 continue
             tag = m[2].lower()
+            if tag in RAW and not m[1]:
+                if not (tag in ("script", "style", "title") and m[3].endswith("/") and any(t == "svg" for t, _ in muted)):
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                    at = end.end() if end else len(source)
+                continue
+            if muted:
+                if not m[1]:
+                    if tag in CONTAINER or tag in LEAF or tag in MUTE and not (tag == "svg" and m[3].endswith("/")):
+                        muted.append((tag, m.start()))
+                elif any(t == tag for t, _ in muted):
+                    while (last := muted.pop())[0] != tag:
+                        if last[0] in MUTE:
+                            open_ended.add(last[1])
+                continue
+            if tag in MUTE:
+                if not m[1] and not (tag == "svg" and m[3].endswith("/")) and m.start() not in open_ended:
+                    muted.append((tag, m.start()))
+                    before = at
+                continue
             if m[1]:
                 if tag == "a":
                     in_link = 0
@@ -128,10 +157,6 @@ class Page:
                     if stack[-1][0] == tag:
                         stack.pop()
                 continue
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
-                continue
             if tag in VOID:
                 text.append(" ")
                 continue
@@ -161,6 +186,11 @@ class Page:
         close()
         return headings
 
+    @staticmethod
+    def _ends(tag: str, muted: list[tuple[str, int]], stack: list[tuple[str, int]], leaf: str) -> bool:
+        """Whether an end tag is that of an element around the open MUTE element."""
+        return not any(t == tag for t, _ in muted) and (tag == leaf or (tag in CONTAINER or tag in LEAF) and any(t == tag for t, _ in stack))
+
     def _settle(self) -> None:
         """Which containers are noise, now that it is known where the page's text lies."""
         n, parent, own = len(self.parent), self.parent, self.own

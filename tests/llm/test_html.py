@@ -74,3 +74,16 @@ def test_noise_words_do_not_outweigh_content():
     for kind in ("comments", "sidebar", "related-posts", "ad-box", "cookie-notice", "site-header", "comment-body", "main-menu"):
         assert best(f'<article><p>short text</article><div class="{kind}">{body}</div>') == "short text"
         assert best(f'<div class="entry"><p>{body}</div><div id="{kind}">{body}</div>') == text
+
+
+def test_embedded_elements_end_where_they_end():
+    for lone in ('<svg class="i" viewBox="0 0 1 1"/>', "<svg/>", "<math/>", "<button>", "<select>", '<iframe src="x">', "<canvas>", "<object>", "<noscript>", "<template>"):
+        assert best(f"<article><p>one {lone}two</p><p>three</article><footer>f</footer>") == "one two\nthree"
+        assert best(f"<article>{lone}<p>one</p><p>two</p></article><button>b</button>") == "one\ntwo"
+        assert best(f"<p>one {lone}two") == "one two"
+    for tag in ("svg", "button", "select", "iframe", "canvas", "object", "noscript", "template"):
+        assert best(f"<article><p>one <{tag} a='b'><{tag}>no</{tag}><p>no</p> no</{tag}>two</p><div>three</div></article>") == "one two\nthree"
+    assert best("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds") == "if x=2 holds"
+    assert best("<svg><title/><style/><script/><path d='m'/></svg><p>one</p><p>two <textarea><p>no</textarea>") == "one\ntwo"
+    assert best("<div><button>a<div><select>b</div><p>c</div><p>d</p>") == "a\nb\nc\nd"
+    assert len(best("<p>word <button>" * 3000 + "</p>")) > 3000
