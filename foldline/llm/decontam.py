@@ -276,41 +276,46 @@ def without(body: bytes, hit: np.ndarray) -> bytes:
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", n_chars: str = "n_chars", shard_bytes: int = 24 << 20, block_bytes: int = 8 << 20) -> DataFrame:
     """All columns of ``docs``, with the merged spans cut from the text and ``n_chars`` (where there is one) set anew.
 
-    Cutting is repeated until nothing occurs any more, since what lay around a span may itself form a window.  A document
+    Cutting is repeated until nothing occurs any more, since what lay around a span may itself form a window.  Each time, what
+    all blocks of the benchmark hit in a text is cut together, so that neither their bounds nor their order count.  A document
     that loses all its words is left out; untouched rows pass as they are.
     """
     ship(docs.sparkSession)
-    for phrases in blocks(benchmark, "item_id", "text", window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches, shared=shared):
-            for b in shards(batches, text, shard_bytes):
-                at = b.schema.get_field_index(text)
-                bodies = raw(b.column(at))
-                _, hits, _ = shared.value.scan(bodies)
-                touched = [i for i, h in enumerate(hits) if h.any()]
-                if touched:
-                    todo, new = touched, b.column(at).to_pylist()
-                    while todo:
-                        some = [without(bodies[i], hits[i]) for i in todo]
-                        _, again, _ = shared.value.scan(some)
-                        for i, body, h in zip(todo, some, again, strict=True):
-                            bodies[i], hits[i], new[i] = body, h, body.decode()
-                        todo = [i for i in todo if hits[i].any()]
-                    cols = list(b.columns)
-                    cols[at] = pa.array(new, b.schema.field(at).type)
-                    if (n := b.schema.get_field_index(n_chars)) >= 0:
-                        counts = cols[n].to_pylist()
-                        for i in touched:
-                            counts[i] = len(new[i])
-                        cols[n] = pa.array(counts, b.schema.field(n).type)
-                    keep = np.ones(b.num_rows, bool)
-                    keep[[i for i in touched if not words_of(bodies[i])]] = False
-                    b = pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
-                yield b
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark, "item_id", "text", window, block_bytes)]
+
+    def scan(bodies: list[bytes]) -> list[np.ndarray]:
+        _, hits, _ = shared[0].value.scan(bodies)
+        for more in shared[1:]:
+            _, found, _ = more.value.scan(bodies)
+            hits = [a | b for a, b in zip(hits, found, strict=True)]
+        return hits
+
+    def run(batches):
+        for b in shards(batches, text, shard_bytes):
+            at = b.schema.get_field_index(text)
+            bodies = raw(b.column(at))
+            hits = scan(bodies)
+            touched = [i for i, h in enumerate(hits) if h.any()]
+            if touched:
+                todo, new = touched, b.column(at).to_pylist()
+                while todo:
+                    some = [without(bodies[i], hits[i]) for i in todo]
+                    for i, body, h in zip(todo, some, scan(some), strict=True):
+                        bodies[i], hits[i], new[i] = body, h, body.decode()
+                    todo = [i for i in todo if hits[i].any()]
+                cols = list(b.columns)
+                cols[at] = pa.array(new, b.schema.field(at).type)
+                if (n := b.schema.get_field_index(n_chars)) >= 0:
+                    counts = cols[n].to_pylist()
+                    for i in touched:
+                        counts[i] = len(new[i])
+                    cols[n] = pa.array(counts, b.schema.field(n).type)
+                keep = np.ones(b.num_rows, bool)
+                keep[[i for i in touched if not words_of(bodies[i])]] = False
+                b = pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -62,6 +62,15 @@ def test_clean_leaves_nothing_and_keeps_the_rest(spark, edge):
     assert {r["doc_id"] for r in rows} == {1, 2, 3, 4, 5, 6, 7, 10, None}
 
 
+def test_clean_does_not_depend_on_blocks(spark):
+    bench = [(1, "red green blue"), (2, "cat dog cow"), (3, "blue cat one")]
+    docs = spark.createDataFrame([(1, "start red green cat dog cow blue end"), (2, "x red green blue cat dog cow one y"), (3, "as it is")], "doc_id long, text string")
+    for items in (bench, bench[::-1]):
+        for most in (1, 20, 8 << 20):
+            got = {r["doc_id"]: r["text"].split() for r in decontam.clean(docs, spark.createDataFrame(items, "item_id long, text string").coalesce(1), block_bytes=most).collect()}
+            assert got == {1: ["start", "end"], 2: ["x", "one", "y"], 3: ["as", "it", "is"]}
+
+
 def test_wavelet_ranks():
     seq = np.random.default_rng(0).integers(0, 11, 300)
     w = decontam.WaveletMatrix(seq, 4)
