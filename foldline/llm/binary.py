@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, filesystem, new_path, ship, texts, with_docs
+from .common import arrow_map, filesystem, new_path, ship, with_docs
 from .tokens import encoder
 
 MARK = b"FOLDPCK1"
@@ -25,6 +25,9 @@ BLOCK = 1 << 14
 MANIFEST = "part int, path string, docs long, ids long"
 
 
+_WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
+
+
 def bits_for(vocabulary: int) -> int:
     return max(1, int(vocabulary - 1).bit_length())
 
@@ -32,6 +35,10 @@ def bits_for(vocabulary: int) -> int:
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """Ids, padded with zeros to groups of 64, as little-endian 64-bit words."""
     n = -(-len(ids) // 64)
+    if width in _WHOLE:  # the same layout, made by a cast
+        out = np.zeros(n * 64, _WHOLE[width])
+        out[: len(ids)] = ids
+        return out.tobytes()
     grid = np.zeros((n, 64), np.uint64)
     grid.reshape(-1)[: len(ids)] = ids
     words = np.zeros((n, width), np.uint64)
@@ -45,6 +52,8 @@ def pack_bits(ids: np.ndarray, width: int) -> bytes:
 
 def unpack_bits(body: bytes, width: int) -> np.ndarray:
     """All ids of packed groups, the padding too, as 32-bit integers."""
+    if width in _WHOLE:
+        return np.frombuffer(body, _WHOLE[width]).astype(np.uint32)
     words = np.frombuffer(body, "<u8").reshape(-1, width)
     grid = np.empty((len(words), 64), np.uint32)
     mask = np.uint64((1 << width) - 1)
@@ -142,7 +151,7 @@ def write_ids(
 
     Ids lie in ascending doc_id order, null first, repeated rows beside each other; a null or empty text is its end id
     alone; an empty table writes no file.  Ranges follow the quantiles of doc_id, so a hot source or a group of copies
-    spreads like all else.  A file that a lost executor left behind is in no manifest.
+    spreads like all else.  Whole texts are encoded however long they are; their strings of special tokens are these tokens.  A file that a lost executor left behind is in no manifest.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -157,9 +166,9 @@ def write_ids(
 
         end = np.array([end_id], "<u4").tobytes()
         got = []
-        bodies, enc = texts(batch.column(1)), encoder(tokenizer)
+        bodies, enc = batch.column(1), encoder(tokenizer)
         for at in range(0, len(bodies), 256):
-            got += [np.frombuffer(b + end, "<u4").astype(kind).tobytes() for b in enc.encode(bodies[at : at + 256])]
+            got += [np.frombuffer(b + end, "<u4").astype(kind).tobytes() for b in enc.encode(bodies.slice(at, 256))]
         names = batch.column(0)
         number = np.asarray(names.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), np.float64)
         return {"part": pa.array(np.searchsorted(bounds, number, "left").astype(np.int32)), "doc_id": names, "ids": pa.array(got, pa.binary())}

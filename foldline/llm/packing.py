@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import ship, texts, with_docs
+from .common import ship, with_docs
 from .tokens import encoder
 
 PIECES = (
@@ -103,7 +103,8 @@ def pack(
     Each partition packs its own documents, about ``group`` windows together (the share ``slack`` of their capacity is left
     free, for windows come out nearly, not wholly, equal), so nothing is shuffled and no task holds more than a group and
     one document.  A null or empty text is its end id alone; repeated rows are packed as often as they occur;
-    a null doc_id stays null; an empty table gives no rows; other columns are not looked at.
+    a null doc_id stays null; an empty table gives no rows; other columns are not looked at; strings of special tokens
+    in a text are these tokens, as the library has it.
     """
 
     def setup() -> dict:
@@ -145,10 +146,10 @@ def pack(
             )
 
         for batch in batches:
-            names, bodies = batch.column(0).to_pylist(), texts(batch.column(1))
+            names, bodies = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(bodies), 256):
                 rows = []
-                for name, ids in zip(names[at : at + 256], enc.encode(bodies[at : at + 256]), strict=True):
+                for name, ids in zip(names[at : at + 256], enc.encode(bodies.slice(at, 256)), strict=True):
                     ids += tail
                     total, start = len(ids) // 4, 0
                     whole, rest = cut(total, capacity, piece)

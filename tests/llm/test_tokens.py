@@ -3,23 +3,35 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from foldline.llm import binary, packing
 from foldline.llm.tokens import TextEncoder
 
-ODD = ["", " ", "  a  b ", "a \n b\n\n c  ", "<|endoftext|> x <|endoftext|>y", "é ́a b́", "it's 'll we've", "\tfoo bar ", "日本 ½ x1y2", "\x1c a\x1f b", "x.*** y!! c.\nd.\ne,,", "a​ b ﻿ c", "İx İ"]
+ODD = ["", " ", "  a  b ", "a \n b\n\n c  ", "<|endoftext|> x <|endoftext|>y", "é ́a b́", "it's 'll we've", "\tfoo bar ", "日本 ½ x1y2", "\x1c a\x1f b", "<|endoftext|>", "a <|endoftext|> b", "in<|endoftext|>side <|startoftext|>", "x <|endoftext|>  y<|ENDOFTEXT|>", "x.*** y!! c.\nd.\ne,,", "a​ b ﻿ c", "İx İ"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_parts_give_the_ids_of_whole_texts(name, texts):
-    plain = Tokenizer.from_file(P.path(name))
-    plain.encode_special_tokens = True
     some = [*list(texts.values())[:120], *ODD]
-    want = [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
-    enc = TextEncoder(P.path(name))
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(some)] == want
+    for special in (True, False):
+        plain = Tokenizer.from_file(P.path(name))
+        plain.encode_special_tokens = not special
+        want = [e.ids for e in plain.encode_batch(some, add_special_tokens=False)]
+        for enc in (TextEncoder(P.path(name), special=special), TextEncoder(P.path(name), keep=40, special=special)):
+            assert enc._cuts
+            for _ in range(2):
+                assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(some)] == want
+            assert [np.frombuffer(b, "<u4").tolist() for t in some for b in enc.encode([t])] == want
+
+
+def test_other_vocabularies_are_asked_for_whole_texts(tmp_path):
+    spec = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    spec.add_tokens([AddedToken("cat", single_word=True, lstrip=True)])
+    spec.save(f"{tmp_path}/x.json")
+    enc, some = TextEncoder(f"{tmp_path}/x.json"), ["a cat sat", "concat", "", "the  cat"]
+    assert not enc._cuts
+    assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(some)] == [e.ids for e in Tokenizer.from_file(f"{tmp_path}/x.json").encode_batch(some, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("width", [1, 7, 16, 17, 31, 32])
@@ -43,7 +55,6 @@ def test_file_random_access(tmp_path):
 
 def reference_ids(name, text, end):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
