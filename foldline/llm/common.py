@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,16 @@ class Scratch:
         delete(self.spark, *(self.paths.pop(n) for n in names if n in self.paths))
 
 
+    def few(self, df: DataFrame, most: int = 50_000) -> bool:
+        """Whether so small a table may be broadcast."""
+        return df.limit(most + 1).count() <= most
+
+    def collect_garbage(self) -> None:
+        """Let the driver drop plans that have run, and with them their shuffle files."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI or a plain path, for Python code on any machine."""
     from pyarrow import fs
@@ -120,6 +132,20 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of neighbours of about ``limit`` bytes together, so that few texts are held twice."""
+    n = len(column)
+    if not n:
+        return
+    sizes = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < n:
+        before = int(sizes[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield at, raw(column.slice(at, to - at))
+        at = to
+
+
 def with_docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Just the two columns an operator reads, under fixed names, so that no other column can clash."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -3,18 +3,23 @@
 Texts of one shingle set are one class from the start, so copies never meet each other.  Of each class, minima of 100 hash
 functions are taken; 20 bands of five give candidate buckets, and the minima's low four bits, packed into words, estimate a
 pair's similarity by bit counts, corrected for chance collisions.  Pairs that may reach the threshold (five standard
-deviations are allowed for) are confirmed on the full shingle sets.  A link at 0.85 shares no band with probability 7e-6.
-
-Buckets of up to ``small`` classes are compared in memory.  In larger ones every class meets a pivot; after confirmation,
-classes outside the bucket's main component meet the rest, pivot by pivot while they are many, so that a hot bucket costs
-its size, not its square, and no link is given up.
+deviations are allowed for) are confirmed on the full shingle sets.  A link at exactly 0.85 shares no band with probability
+8.1e-6 and is under the estimate's bound with 1.3e-6; links above it are missed more rarely, and only where no other link
+joins the same documents does a missed one change the result.
+
+Buckets of up to ``small`` classes are compared in memory.  In larger ones every class meets a pivot; then the classes
+outside the bucket's main component meet all of it where they are few.  Where they are many, the bucket's classes are
+bucketed anew by 96 samples of 12 low-bit groups (a link at 0.85 is in none of them with probability 5e-8), and in what is
+large even then, pivots go on until nothing is outside.  So a hot bucket costs its size times a constant in each round, and
+no pair of a bucket is left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, doc_groups, group_words, mix64, raw, ship, with_docs
@@ -133,12 +138,15 @@ def _pair(x: str = "x", y: str = "y") -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def small_pairs(live: DataFrame, least: int) -> DataFrame:
-    """Pairs of classes of bounded buckets whose low bits agree enough."""
+PAIRS = "a binary, b binary, g long"
+
+
+def small_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """Pairs of classes of bounded buckets (key, node, sig) whose low bits agree enough; ``g`` is the bucket."""
 
     def run(_: dict, batch: pa.RecordBatch) -> dict:
-        left, right = [], []
-        for members in batch.column(0).to_pylist():
+        left, right, group = [], [], []
+        for key, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sig = np.array([m["sig"] for m in members], np.int64)
             names = [m["node"] for m in members]
             for i in range(len(names) - 1):
@@ -146,41 +154,72 @@ def small_pairs(live: DataFrame, least: int) -> DataFrame:
                     a, b = names[i], names[j]
                     left.append(min(a, b))
                     right.append(max(a, b))
-        return {"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())}
+                    group.append(key)
+        return {"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary()), "g": group}
+
+    return arrow_map(rows.groupBy("key").agg(F.collect_list(F.struct("node", "sig")).alias("m")), run, PAIRS)
 
-    return arrow_map(live.groupBy("key").agg(F.collect_list(F.struct("node", "sig")).alias("m")).select("m"), run, "a binary, b binary").distinct()
 
+def once(pairs: DataFrame) -> DataFrame:
+    """Each pair in one group."""
+    return pairs.groupBy("a", "b").agg(F.min("g").alias("g"))
 
-def confirm(pairs: DataFrame, bodies: DataFrame, percent: int, width: int, chunk: int = 64) -> DataFrame:
-    """The pairs that reach the threshold on their full sets.
 
-    Each left class goes with its partners, at most about ``chunk`` to a bundle, so a class with many partners spreads.
+def in_bundles(pairs: DataFrame, chunk: int = 64) -> DataFrame:
+    """Pairs grouped by their left class, about ``chunk`` partners to a group, so that a class with many partners spreads."""
+    degree = pairs.groupBy("a").count()
+    return pairs.join(degree, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / chunk))).alias("g"))
+
+
+def confirm(pairs: DataFrame, bodies: DataFrame, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b, g) that reach the threshold on their full sets.
+
+    The text of a class goes once to each group it has a pair in; groups are bounded, and so is what a task holds.  A pair
+    of which a text is missing is not confirmed.
     """
     ship(pairs.sparkSession)
-    degree = pairs.groupBy("a").count()
-    bundled = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / chunk)).alias("chunk"))
-    rows = bundled.select("a", "chunk", F.col("b").alias("node")).unionByName(bundled.select("a", "chunk", F.col("a").alias("node")).distinct())
-    rows = rows.join(bodies, "node").select("a", "chunk", "node", "text", (F.col("a") != F.col("node")).alias("right"))
+    sides = pairs.select("g", F.col("b").alias("node"), F.col("a").alias("other")).unionByName(pairs.select("g", F.col("a").alias("node"), F.lit(None).cast("binary").alias("other")))
+    rows = sides.groupBy("g", "node").agg(F.collect_list("other").alias("others")).join(bodies, "node").select("g", "node", "others", "body")
 
     def run(batches):
-        pivot, own = None, None
+        now, sets, asked = None, {}, []
+        left, right = [], []
+
+        def close() -> None:
+            for node, others in asked:
+                own = sets[node]
+                for other in others:
+                    items = sets.get(other)
+                    if items is None or 100 * min(len(own), len(items)) < percent * max(len(own), len(items)):
+                        continue
+                    both = np.count_nonzero(own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items)
+                    if 100 * both >= percent * (len(own) + len(items) - both):
+                        left.append(other)
+                        right.append(node)
+
+        def table() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            left.clear()
+            right.clear()
+            return out
+
+        unpress = zstandard.ZstdDecompressor()
         for b in batches:
-            left, right = [], []
-            names = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            for (a, part, node), items in zip(names, shingle_sets(raw(b.column(3)), width), strict=True):
-                if a == node:
-                    pivot, own = (a, part), items
-                    continue
-                if pivot != (a, part):
-                    raise ValueError("a bundle without its left class")
-                both = np.count_nonzero(own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items)
-                if 100 * both >= percent * (len(own) + len(items) - both):
-                    left.append(a)
-                    right.append(node)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "right").mapInArrow(run, "a binary, b binary")
+            texts = [unpress.decompress(x) for x in b.column(3).to_pylist()]
+            for g, node, others, items in zip(*(b.column(i).to_pylist() for i in range(3)), shingle_sets(texts, width), strict=True):
+                if g != now:
+                    close()
+                    now, sets, asked = g, {}, []
+                sets[node] = items
+                if others:
+                    asked.append((node, others))
+            if len(left) > 10_000:
+                yield table()
+        close()
+        if left:
+            yield table()
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -207,11 +246,181 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small: int = 64, rounds: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+SUBSETS, SUBSET = 96, 12
+_PICKS = np.stack([np.random.default_rng(1200 + t).choice(HASHES, SUBSET, replace=False) for t in range(SUBSETS)])
+
+
+def sampled_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node): of each class (node, sig), a key for each of ``SUBSETS`` samples of its low-bit groups."""
+
+    def run(_: dict, b: pa.RecordBatch) -> dict:
+        sig = np.array(b.column(1).to_pylist(), np.int64).reshape(-1, SIG_WORDS).view(np.uint64)
+        nibbles = (sig[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4)) & np.uint64(15)).reshape(len(sig), -1)
+        picked = nibbles[:, _PICKS] << (np.arange(SUBSET, dtype=np.uint64) * np.uint64(4))
+        keys = mix64(np.bitwise_or.reduce(picked, axis=2) * _A + np.arange(1, SUBSETS + 1, dtype=np.uint64))
+        return {"keys": list(keys.view(np.int64)), "node": b.column(0)}
+
+    return arrow_map(nodes.select("node", "sig"), run, "keys array<long>, node binary").select(F.explode("keys").alias("key"), "node")
+
+
+class Linker:
+    """The links of classes (node, first, sig), found level by level; ``labels`` has the components so far."""
+
+    def __init__(self, scratch: Scratch, classes: DataFrame, docs: DataFrame, percent: int, width: int, small: int):
+        self.scratch, self.classes, self.docs = scratch, classes, docs
+        self.percent, self.width, self.small, self.least = percent, width, small, least_matches(percent)
+        self.labels = self.bodies = self.tested = None
+        self.step = 0
+
+    def candidates(self, rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Of buckets (key, node): pairs whose low bits agree enough, and the rows of buckets above ``small`` with size and signature."""
+        shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        live = self.scratch.keep(rows.join(shared, "key"), f"{name}-live")
+        sigs = live.select("node").distinct().join(self.classes.select("node", "sig"), "node")
+        live_sigs = self.scratch.keep(live.join(sigs, "node").select("key", "node", "size", "sig"), f"{name}-buckets")
+        self.scratch.drop(f"{name}-live")
+        hot = live_sigs.filter(F.col("size") > self.small)
+        pairs = small_pairs(live_sigs.filter(F.col("size") <= self.small), self.least)
+        pivots = hot.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("p"), F.max("size").alias("size"))
+        pairs = once(pairs.unionByName(self.meet(hot, pivots.select("key", "size", F.col("p.node").alias("pivot"), F.col("p.sig").alias("pivot_sig")))))
+        return self.scratch.keep(pairs, f"{name}-pairs"), hot
+
+    @staticmethod
+    def spread(members: DataFrame, ones: DataFrame, each: int = 4096) -> DataFrame:
+        """Join bucket members (key, node, size) with few rows a bucket (key, size), a large bucket being split over many tasks."""
+        parts = F.greatest(F.ceil(F.col("size") / each), F.lit(1))
+        members = members.withColumn("salt", F.pmod(F.xxhash64("node"), parts))
+        ones = ones.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("size")
+        return members.join(ones, ["key", "salt"]).drop("salt")
+
+    def meet(self, hot: DataFrame, pivots: DataFrame, chunk: int = 256) -> DataFrame:
+        """Pairs of bucket members and pivots of the same bucket whose low bits agree enough, about ``chunk`` members to a group."""
+        met = self.spread(hot, pivots).filter((F.col("node") != F.col("pivot")) & _close("sig", "pivot_sig", self.least))
+        group = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / chunk)))
+        return met.select(*_pair("node", "pivot"), group.alias("g"))
+
+    def fetch(self, nodes: DataFrame) -> None:
+        """Texts, compressed, of classes (node, crowded); of rows of one doc_id only that of the class."""
+        at, width = nodes.groupBy("node").agg(F.max("crowded").alias("crowded")).join(self.classes.select("node", F.col("first").alias("doc_id")), "node"), self.width
+
+        def own(_: dict, b: pa.RecordBatch) -> dict:
+            press, names, texts = zstandard.ZstdCompressor(), b.column(0).to_pylist(), raw(b.column(1))
+            good = [k for k, (n, s) in enumerate(zip(names, shingle_sets(texts, width), strict=True)) if len(s) and set_key(s) == n]
+            return {"node": [names[k] for k in good], "body": [press.compress(texts[k]) for k in good], "crowded": b.column(2).take(pa.array(good, pa.int64()))}
+
+        # Repeated rows have one doc_id, by which the join has brought them together.
+        met = self.docs.join(at, "doc_id").dropDuplicates(["doc_id", "node", "text"])
+        self.bodies = self.scratch.keep(arrow_map(met.select("node", "text", "crowded"), own, "node binary, body binary, crowded boolean"), "bodies")
+        self.texts = self.bodies.drop("crowded")
+
+    def named(self, nodes: DataFrame) -> DataFrame:
+        """``nodes`` with their labels; a class without links is its own."""
+        return nodes.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        la = self.labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        lb = self.labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+
+    def link(self, links: DataFrame) -> None:
+        """Merge components: links between labels give the labels' own components."""
+        self.step += 1
+        scratch, name = self.scratch, f"labels-{self.step}"
+        new = scratch.keep(links, f"links-{self.step}")
+        if new.limit(1).count():
+            if self.labels is None:
+                self.labels = components(new, scratch, name)
+            else:
+                old, was = self.labels, scratch.labels
+                la, lb = (self.labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+                between = new.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b")
+                between = scratch.keep(between.distinct(), f"between-{self.step}")
+                if between.limit(1).count():
+                    top = components(between, scratch, name)
+                    up = top.select(F.col("node").alias("label"), F.col("label").alias("up"))
+                    merged = old.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+                    merged = merged.unionByName(top.join(old, "node", "left_anti"))
+                    self.labels = scratch.keep(merged, f"{name}-all")
+                    scratch.drop(scratch.labels, was)
+                    scratch.labels = f"{name}-all"
+                scratch.drop(f"between-{self.step}")
+        elif self.labels is None:
+            self.labels = new.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            scratch.labels = f"links-{self.step}"
+            return
+        scratch.drop(f"links-{self.step}")
+
+    def test(self, pairs: DataFrame) -> None:
+        """Confirm the pairs that are still in different components and were not confirmed before."""
+        rest = self.apart(pairs)
+        if self.tested is not None:
+            rest = rest.join(self.tested, ["a", "b"], "left_anti")
+        rest = self.scratch.keep(rest, f"tested-{self.step}")
+        self.tested = rest.select("a", "b") if self.tested is None else self.tested.unionByName(rest.select("a", "b"))
+        if rest.limit(1).count():
+            self.link(confirm(rest, self.texts, self.percent, self.width))
+        self.scratch.collect_garbage()
+
+    def outside(self, hot: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+        """Rows of hot buckets whose class is not of the bucket's main component, with their number there."""
+        named = self.named(hot)
+        counted = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+        main = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.max("size").alias("size"))
+        main = main.filter(F.col("all") > F.col("m.n")).select("key", "size", F.col("m.label").alias("main"))
+        out = self.spread(named, main).filter("label != main").drop("label", "main")
+        if tried is not None:
+            out = out.join(tried, ["key", "node"], "left_anti")
+        left = out.groupBy("key").agg(F.count("*").alias("outside"), F.max("size").alias("size"))
+        return self.spread(out, left)
+
+    def level(self, rows: DataFrame, name: str) -> DataFrame:
+        """Links of buckets: one a class first, as it mostly joins a group, then what is still apart.  Gives the hot rows."""
+        pairs, hot = self.candidates(rows, name)
+        if self.bodies is None:
+            calm, crowded = F.lit(False).alias("crowded"), F.lit(True).alias("crowded")
+            self.fetch(pairs.select(F.col("a").alias("node"), calm).union(pairs.select("b", calm)).union(hot.select("node", crowded)))
+        if self.labels is None:
+            stars = self.scratch.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
+            self.link(confirm(in_bundles(stars), self.texts, self.percent, self.width).unionByName(self.same_ids))
+            self.tested = stars
+        self.test(pairs)
+        self.scratch.drop(f"{name}-pairs")
+        return hot
+
+    def run(self, rows: DataFrame, same_ids: DataFrame) -> None:
+        self.same_ids = same_ids
+        asked = [F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")]
+        hot = self.level(rows, "bands")
+        self.texts = self.bodies.filter("crowded").drop("crowded")  # all that is asked for from here on
+        if hot.limit(1).count():
+            out = self.scratch.keep(self.outside(hot), "outside")
+            few = out.filter(F.col("outside") <= self.small)
+            if few.limit(1).count():
+                self.test(once(self.meet(hot, few.select("key", "size", *asked))))
+            many = out.filter(F.col("outside") > self.small).select("key").distinct()
+            if many.limit(1).count():
+                nodes = hot.join(F.broadcast(many) if self.scratch.few(many) else many, "key", "left_semi").select("node", "sig").dropDuplicates(["node"])
+                deep = self.level(sampled_keys(self.scratch.keep(nodes, "crowded")), "samples")
+                tried, k = None, 0
+                while deep.limit(1).count():
+                    k += 1
+                    out = self.scratch.keep(self.outside(deep, tried), f"deep-{k}")
+                    if not out.limit(1).count():
+                        break
+                    some = out.groupBy("key", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(self.small)).alias("salt")).agg(F.min(F.struct("node", "sig")).alias("p"), F.max("size").alias("size"))
+                    some = self.scratch.keep(some.select("key", "size", F.col("p.node").alias("pivot"), F.col("p.sig").alias("pivot_sig")), f"pivots-{k}")
+                    self.scratch.drop(f"deep-{k}")
+                    self.test(once(self.meet(deep, some)))
+                    now = some.select("key", F.col("pivot").alias("node"))
+                    tried = now if tried is None else tried.unionByName(now)
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_size (documents of the same shingle set), one row a row of ``docs``.
 
     A null or empty text has no shingles, is linked with nothing and is kept; a row of null doc_id has a null component and
-    is kept; rows of one doc_id are one component whatever their texts.  An empty table gives no rows.
+    is kept; rows of one doc_id are one component whatever their texts; very long texts are taken whole; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -220,77 +429,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small
     rows = sigs.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     classes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("class_size"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = scratch.keep(classes, "classes")
-    least = least_matches(percent)
-    buckets = classes.select("node", "sig", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    live = scratch.keep(buckets.join(shared, "key"), "buckets")
-    hot = live.filter(F.col("size") > small).drop("size")
-    pivots = hot.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.sig").alias("pivot_sig"))
-
-    def meet(hot: DataFrame, pivots: DataFrame) -> DataFrame:
-        """Pairs of bucket members and pivots of the same bucket whose low bits agree enough."""
-        met = hot.join(pivots, "key").filter((F.col("node") != F.col("pivot")) & _close("sig", "pivot_sig", least))
-        return met.select(*_pair("node", "pivot")).distinct()
-
-    pairs = scratch.keep(small_pairs(live.filter(F.col("size") <= small), least).union(meet(hot, pivots)).distinct(), "pairs")
-    any_hot = hot.limit(1).count() > 0
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    if any_hot:
-        wanted = wanted.union(hot.select("node"))
-    at = wanted.distinct().join(classes.select("node", F.col("first").alias("doc_id")), "node")
-
-    def own(_: dict, b: pa.RecordBatch) -> pa.RecordBatch:
-        """Drops texts of another row of the same doc_id."""
-        keep = [len(s) > 0 and set_key(s) == n for n, s in zip(b.column(0).to_pylist(), shingle_sets(raw(b.column(1)), width), strict=True)]
-        return b.filter(pa.array(keep))
-
-    bodies = arrow_map(docs.join(at, "doc_id").select("node", "text"), own, "node binary, text string").dropDuplicates(["node"])
-    bodies = scratch.keep(bodies, "bodies")
-
-    # One link a class first: it mostly joins a group.  What it leaves in different components is confirmed then.
-    stars = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    same_id = sigs.filter("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z AND doc_id IS NOT NULL").select("doc_id", "a")
-    same_id = sigs.select("doc_id", F.col("node").alias("b")).join(same_id, "doc_id").filter("a != b").select("a", "b")
-    links = scratch.keep(confirm(stars, bodies, percent, width).union(same_id).distinct(), "links-0")
-    labels = components(links, scratch, "star")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-        lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        p = pairs.join(la, "a", "left").join(lb, "b", "left")
-        return p.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-    rest = apart(pairs.join(stars, ["a", "b"], "left_anti"))
-    tried = 0
-    while True:
-        rest = scratch.keep(rest, f"rest-{tried}")
-        if rest.limit(1).count():
-            more = scratch.keep(confirm(rest, bodies, percent, width), f"links-{tried + 1}")
-            if more.limit(1).count():
-                links = links.union(more)
-                labels = components(links, scratch, f"labels-{tried}")
-        if not any_hot or tried >= rounds:
-            break
-        # Members of hot buckets outside the bucket's main component.
-        named = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        main = named.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("n"))
-        main = main.select("key", F.col("m.label").alias("main"), (F.col("n") - F.col("m.count")).alias("outside")).filter("outside > 0")
-        tried += 1
-        outside = scratch.keep(named.join(main, "key").filter("label != main"), f"outside-{tried}")
-        if not outside.limit(1).count():
-            break
-        few = outside.filter((F.col("outside") <= small) | F.lit(tried >= rounds))
-        many = outside.filter((F.col("outside") > small) & F.lit(tried < rounds))
-        lone = many.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("p")).select("key", F.col("p.node").alias("pivot"), F.col("p.sig").alias("pivot_sig"))
-        asked = few.select("key", F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig")).union(lone)
-        found = meet(hot, asked).join(pairs, ["a", "b"], "left_anti")
-        pairs = pairs.union(scratch.keep(found, f"found-{tried}"))
-        rest = apart(spark.read.parquet(scratch.paths[f"found-{tried}"]))
-        hot = scratch.keep(hot.join(lone.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").join(lone.select("key").distinct(), "key", "left_semi"), f"hot-{tried}")
-        any_hot = hot.limit(1).count() > 0
-
+    ids = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("doc_id", "a")
+    same_ids = rows.select("doc_id", F.col("node").alias("b")).join(ids, "doc_id").filter("a != b").select("a", "b").distinct()
+    found = Linker(scratch, classes, docs, percent, width, small)
+    found.run(classes.select(F.explode("bands").alias("key"), "node"), same_ids)
     scratch.drop(*(n for n in list(scratch.paths) if n not in ("signatures", "classes", scratch.labels)))
-    named = classes.select("node", "first", "class_size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = found.named(classes.select("node", "first", "class_size"))
     least_id = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(least_id, "label").select("node", "component_id", "class_size")
     out = sigs.select("doc_id", "n_shingles", "node").join(named, "node", "left")
@@ -302,9 +446,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near duplicates does, all columns as they are.
 
-    Of rows with one doc_id one stays; rows without a doc_id, and texts without words, all stay.
+    Of rows with one doc_id the least stays (by text, then by the hash of all columns that have one); rows without a
+    doc_id, and texts without words, all stay, as long as no other row has their doc_id.  An empty table gives no rows.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **settings)
     stay = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(stay, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id])
-    return named.unionByName(docs.filter(F.col(doc_id).isNull()))
+    named = docs.join(stay, doc_id, "left_semi").select(*docs.columns)
+    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doc_id))
+    order = [F.col(text).asc_nulls_last(), F.to_json(F.struct(*docs.columns))]
+    one = named.join(twice, doc_id, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(doc_id).orderBy(*order))).filter("_n = 1").drop("_n")
+    return named.join(twice, doc_id, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.filter(F.col(doc_id).isNull()))
