@@ -2,32 +2,39 @@
 
 Words are counted over all training texts.  The commonest are outputs of their own; the others share classes by their last
 two letters, within which a word has its smoothed share of the class's count.  The model predicts a token's class from the
-class before it: score(prev, next) = (R[prev] C) . Q[next] + b[next].  As there are K classes, the counts of all K x K
-neighbours are all that training needs, so the whole corpus is learned from, with the noise taken in expectation, and one
-matrix product gives every normaliser.
+three tokens before it: h = R[c1] * C1 + R[c2] * C2 + R[c3] * C3 (diagonal C), score(next) = h . Q[next] + b[next].  The token before
+is told apart by its class, those farther off by fewer words, so that the contexts are few enough for one batched matrix
+product to give the normaliser of each of them.
+
+Every task trains on all tokens of its partition against noise sampled from the classes' unigram; the tasks' parameters are
+then averaged by their tokens, so the whole training corpus is learned from and nothing grows with it but time.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, raw, ship, with_docs
+from .common import Scratch, pieces, ship, with_docs
 
 END = ""  # ends every text; no word is empty
+#: How many classes are told apart at the second and third token before (the commonest, and one for all others).
+FAR = (24, 4)
+BLOCK = 256
 
 
 def _words(body: bytes) -> list[bytes]:
     return body.lower().split()
 
 
-def count_words(docs: DataFrame, flush: int = 400_000) -> DataFrame:
+def count_words(docs: DataFrame, flush: int = 150_000) -> DataFrame:
     """(word, c): how often each word, and the end, occurs; counted within tasks before anything is sent."""
     ship(docs.sparkSession)
 
@@ -37,12 +44,13 @@ def count_words(docs: DataFrame, flush: int = 400_000) -> DataFrame:
 
         count: Counter = Counter()
         for b in batches:
-            for body in raw(b.column(0)):
-                count.update(_words(body))
-                count[b""] += 1
-                if len(count) > flush:
-                    yield table(count)
-                    count = Counter()
+            for _, bodies in pieces(b.column(0)):
+                for body in bodies:
+                    count.update(_words(body))
+                    count[b""] += 1
+                    if len(count) > flush:
+                        yield table(count)
+                        count = Counter()
         if count:
             yield table(count)
 
@@ -75,9 +83,17 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, own: int, shared: int, known: int) -> Lexicon:
-    """From the counts of all words: ``own`` words are classes, ``shared`` suffixes are, ``known`` counts are kept at hand; all are bounds."""
+    """From the counts of all words: ``own`` words are classes, ``shared`` suffixes are, and of at most ``known`` words the counts
+    are kept at hand: of those that occur at least as often as leaves no more."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(known).collect()  # bounded by ``known``
+    steps = counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().collect()  # one row a count, 100,000 at most
+    least, above = 1 << 60, 0
+    for r in sorted(steps, key=lambda r: -r["c"]):
+        above += r["count"]
+        if above > known:
+            break
+        least = r["c"]
+    top = sorted(counts.filter(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["word"]))  # bounded by ``known``
     words = [r["word"] for r in top]
     single = [END] + [w for w in words if w != END][:own]
     spark = counts.sparkSession
@@ -108,83 +124,177 @@ def sequence(words: list[bytes], lex: Lexicon) -> tuple[np.ndarray, np.ndarray,
     return at, kind, away
 
 
-def count_neighbours(docs: DataFrame, lex: Lexicon) -> np.ndarray:
-    """K x K counts of (class, next class) over all texts; a text begins after an end."""
+LEAD = np.zeros(3, np.int32)
+LAST = np.zeros(1, np.int32)
+
+
+def grams(kinds: list[np.ndarray]) -> np.ndarray:
+    """(next, before, second before, third before) of every token of some texts, each behind three ends and with its own."""
+    chain = np.concatenate([x for kind in kinds for x in (LEAD, kind, LAST)])
+    size = np.fromiter(map(len, kinds), np.int64, len(kinds)) + 4
+    first = np.cumsum(size) - size
+    token = np.ones(len(chain), bool)
+    for k in range(3):
+        token[first + k] = False
+    at = np.flatnonzero(token)
+    return np.stack([chain[at - k] for k in range(4)])
+
+
+def training_parts(docs: Iterator[pa.RecordBatch], lex: Lexicon) -> Iterator[np.ndarray]:
+    """``grams`` of about a megabyte of text at once."""
+    for b in docs:
+        for _, bodies in pieces(b.column(0)):
+            yield grams([sequence(_words(x), lex)[1] for x in bodies])
+
+
+def start(noise: np.ndarray, width: int, seed: int = 6) -> dict[str, np.ndarray]:
+    """Parameters that give the classes' unigram."""
+    rng, k, f = np.random.default_rng(seed), len(noise), np.float32
+    return {"R": rng.normal(0, 0.3, (k, width)).astype(f), "C": np.ones((3, width), f), "Q": rng.normal(0, 0.05, (k, width)).astype(f), "b": np.log(noise).astype(f)}
+
+
+def told_apart(k: int) -> list[np.ndarray]:
+    """The class that stands for each class at each of the three places before."""
+    return [np.arange(k), *(np.where(np.arange(k) < m - 1, np.arange(k), k - 1) for m in FAR)]
+
+
+def train(parts: Iterable[np.ndarray], model: dict[str, np.ndarray], noise: np.ndarray, *, samples: int = 96, batch: int = 512, rate: float = 0.15, seed: int = 6) -> int:
+    """Noise-contrastive estimation over all ``parts`` (of ``grams``), in place: each batch against ``samples`` draws from ``noise``.
+
+    Steps are scaled for each row by the root of its summed squared gradients.  Gives the number of tokens.
+    """
+    rng, total = np.random.default_rng(seed), 0
+    near, cum = told_apart(len(noise)), np.cumsum(noise)
+    shift = np.log(samples * noise).astype(np.float32)
+    R, C, Q, b = (model[n] for n in "RCQb")
+    sums = {"R": np.full(len(R), 1e-2, np.float32), "Q": np.full(len(Q), 1e-2, np.float32), "b": np.full(len(b), 1e-2, np.float32), "C": np.full(C.shape, 1e-2, np.float32)}
+
+    def step(name: str, rows: np.ndarray, grads: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        ranked = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        g, at = np.add.reduceat(grads[order], first, axis=0), ranked[first]
+        square = (g * g).mean(1) if g.ndim == 2 else g * g
+        sums[name][at] += square
+        size = rate / np.sqrt(sums[name][at])
+        model[name][at] += g * (size[:, None] if g.ndim == 2 else size)
+
+    for part in parts:
+        part = part[:, rng.permutation(part.shape[1])]
+        total += part.shape[1]
+        for i in range(0, part.shape[1], batch):
+            t, *context = part[:, i : i + batch]
+            context = [m[c] for m, c in zip(near, context, strict=True)]
+            drawn = np.minimum(np.searchsorted(cum, rng.random(samples) * cum[-1], "right"), len(noise) - 1)
+            rows = [R[c] for c in context]
+            h = rows[0] * C[0] + rows[1] * C[1] + rows[2] * C[2]
+            q, qn = Q[t], Q[drawn]
+            good = (h * q).sum(1)
+            good += b[t] - shift[t]
+            bad = h @ qn.T
+            bad += b[drawn] - shift[drawn]
+            good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # chance that data is taken for noise
+            bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))  # less the chance that noise is taken for data
+            dh = good[:, None] * q + bad @ qn
+            scale = np.float32(1 / len(t) ** 0.5)
+            dh *= scale
+            good *= scale
+            bad *= scale
+            step("Q", np.concatenate((t, drawn)), np.concatenate((good[:, None] * h, bad.T @ h)))
+            step("b", np.concatenate((t, drawn)), np.concatenate((good, bad.sum(0))))
+            dC = np.stack([(dh * r).sum(0) for r in rows])
+            step("R", np.concatenate(context), np.concatenate([dh * c for c in C]))
+            sums["C"] += dC * dC
+            C += 0.1 * rate * dC / np.sqrt(sums["C"])
+    return total
+
+
+def learn(docs: DataFrame, lex: Lexicon, *, width: int = 24, **training) -> dict[str, np.ndarray]:
+    """The average, by tokens, of what each task learns from all its texts from one common start."""
     spark = docs.sparkSession
     ship(spark)
-    shared, k = spark.sparkContext.broadcast(lex), lex.k
+    shared, model = spark.sparkContext.broadcast(lex), start(lex.noise, width)
+
+    def flat(m: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([m[n].ravel() for n in "RCQb"])
 
     def run(batches):
-        lex, grid = shared.value, np.zeros(k * k, np.int64)
+        lex = shared.value
+        m = start(lex.noise, width)
+        n = train(training_parts(batches, lex), m, lex.noise, **training)
+        if n:
+            values = flat(m)
+            for k in range(0, len(values), BLOCK * 64):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([values[k : k + BLOCK * 64].tobytes()], pa.binary())], names=["at", "n", "v"])
+
+    def merge(batches):
+        sums: dict[int, list] = {}
         for b in batches:
-            keys = []
-            for body in raw(b.column(0)):
-                _, kind, _ = sequence(_words(body), lex)
-                kind = np.concatenate(([0], kind, [0])).astype(np.int64)
-                keys.append(kind[:-1] * k + kind[1:])
-            if keys:
-                grid += np.bincount(np.concatenate(keys), minlength=k * k)
-        full = np.flatnonzero(grid)
-        for i in range(0, len(full), 100_000):
-            at = full[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(grid[at])], names=["cell", "n"])
-
-    cells = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = cells.toArrow()  # at most K * K cells
-    grid = np.zeros(k * k)
-    grid[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return grid.reshape(k, k)
-
-
-def train(grid: np.ndarray, noise: np.ndarray, *, width: int = 32, steps: int = 100, samples: float = 20.0, rate: float = 0.05, seed: int = 6) -> dict[str, np.ndarray]:
-    """R, C, Q and b by noise-contrastive estimation over all neighbours, the ``samples`` noise draws a token in expectation (Adam)."""
-    rng, k = np.random.default_rng(seed), len(noise)
-    f = np.float32
-    model = {
-        "R": rng.normal(0, 0.3, (k, width)).astype(f),
-        "C": np.eye(width, dtype=f),
-        "Q": rng.normal(0, 0.3, (k, width)).astype(f),
-        "b": np.log(noise).astype(f),
-    }
-    total = max(1.0, grid.sum())
-    data = (grid / total).astype(f)
-    drawn = np.outer(grid.sum(1) / total, samples * noise).astype(f)
-    shift = np.log(samples * noise).astype(f)
-    first = {n: np.zeros_like(x) for n, x in model.items()}
-    second = {n: np.zeros_like(x) for n, x in model.items()}
-    scale = f(k)  # gradients are of a mean over all tokens; Adam makes their scale immaterial but for its epsilon
-    for step in range(1, steps + 1):
-        r, c, q, b = (model[n] for n in "RCQb")
-        rc = r @ c
-        p = rc @ q.T
-        p += b - shift
-        np.negative(p, out=p)
-        np.clip(p, -30, 30, out=p)
-        np.exp(p, out=p)
-        p += 1
-        np.reciprocal(p, out=p)  # chance that a pair is data
-        g = data - p * (data + drawn)
-        g *= scale
-        gq = g @ q
-        grads = {"R": gq @ c.T, "C": r.T @ gq, "Q": g.T @ rc, "b": g.sum(0)}
-        slow = rate * (1 - (step - 1) / steps) ** 0.5
-        for n, x in grads.items():
-            first[n] = 0.9 * first[n] + 0.1 * x
-            second[n] = 0.99 * second[n] + 0.01 * x * x
-            model[n] += (slow * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(f)
+            for k, n, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                x = np.frombuffer(v, np.float32) * float(n)
+                if k in sums:
+                    sums[k][0] += n
+                    sums[k][1] += x
+                else:
+                    sums[k] = [n, x.astype(np.float64)]
+        for k, (n, x) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], names=["at", "n", "v"])
+
+    kind = "at long, n long, v binary"
+    parts = docs.select("text").mapInArrow(run, kind).repartition("at").mapInArrow(merge, kind).collect()  # the parameters, once
+    if parts:
+        values = np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(parts, key=lambda r: r["at"])])
+        at = 0
+        for n in "RCQb":
+            model[n] = values[at : at + model[n].size].reshape(model[n].shape)
+            at += model[n].size
     return model
 
 
-def log10_table(model: dict[str, np.ndarray], block: int = 256) -> np.ndarray:
-    """log10 P(next class | class), normalised, by products over blocks of contexts."""
-    out = np.empty((len(model["b"]), len(model["b"])), np.float32)
-    for i in range(0, len(out), block):
-        s = (model["R"][i : i + block].astype(np.float64) @ model["C"]) @ model["Q"].T.astype(np.float64) + model["b"]
+def places(model: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """What each of the three places adds to the prediction, for the classes told apart there."""
+    k = len(model["b"])
+    return [model["R"] * model["C"][0], *(model["R"][[*range(min(m - 1, k)), *[k - 1] * max(1, m - k)]] * c for m, c in zip(FAR, model["C"][1:], strict=True))]
+
+
+def normalisers(model: dict[str, np.ndarray], classes: np.ndarray) -> np.ndarray:
+    """log of the summed exponentials of all outputs, for each class before with all that may lie before it."""
+    one, two, three = places(model)
+    far = (two[:, None] + three[None]).reshape(-1, two.shape[1]) @ model["Q"].T
+    base, q = model["b"], model["Q"]
+    out = np.empty((len(classes), len(far)), np.float32)
+    for i, c in enumerate(classes):
+        s = far + (one[c] @ q.T + base)
         top = s.max(1, keepdims=True)
-        out[i : i + block] = (s - top - np.log(np.exp(s - top).sum(1, keepdims=True))) / np.log(10)
+        s -= top
+        out[i] = np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
     return out
 
 
+def all_normalisers(spark: SparkSession, model: dict[str, np.ndarray]) -> np.ndarray:
+    """Those of every context, computed by the cluster; their number is bounded by the classes."""
+    ship(spark)
+    shared, k = spark.sparkContext.broadcast(model), len(model["b"])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                at = b.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in normalisers(shared.value, at)], pa.binary())], names=["id", "z"])
+
+    got = spark.range(k, numPartitions=max(1, min(48, k // 64))).mapInArrow(run, "id long, z binary").collect()
+    return np.stack([np.frombuffer(r["z"], np.float32) for r in sorted(got, key=lambda r: r["id"])])
+
+
+def log_probabilities(model: dict[str, np.ndarray], z: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """log10 of each token's class, of ``grams``."""
+    one, two, three = places(model)
+    t, c1, c2, c3 = part
+    d2, d3 = np.minimum(c2, len(two) - 1), np.minimum(c3, len(three) - 1)
+    s = np.einsum("ij,ij->i", one[c1] + two[d2] + three[d3], model["Q"][t]) + model["b"][t]
+    return (s - z[c1, d2 * len(three) + d3]) / np.float32(np.log(10))
+
+
 PASSED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, word string, n long"
 
 
@@ -192,60 +302,67 @@ def held_out(fold: int, remainder: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == remainder, F.lit(False))
 
 
-def fit(docs: DataFrame, scratch: Scratch, *, own: int = 1500, shared: int = 500, known: int = 100_000, **training) -> tuple[DataFrame, Lexicon, np.ndarray]:
-    """Counts of all words, the lexicon, and the table of class log-probabilities, from the texts in ``docs``."""
+def fit(docs: DataFrame, scratch: Scratch, *, own: int = 3000, shared: int = 500, known: int = 100_000, **training) -> tuple[DataFrame, Lexicon, dict[str, np.ndarray], np.ndarray]:
+    """Counts of all words, the lexicon, the model and its normalisers, from the texts in ``docs``."""
     counts = scratch.keep(count_words(docs), "counts")
     lex = lexicon(counts, own, shared, known)
-    return counts, lex, log10_table(train(count_neighbours(docs, lex), lex.noise, **training))
+    model = learn(docs, lex, **training)
+    return counts, lex, model, all_normalisers(docs.sparkSession, model)
 
 
 def score(docs: DataFrame, *, fold: int = 5, remainder: int = 1, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row.
 
     A null or empty text is its end alone; a row of null doc_id is trained on; repeated rows each count and get their row;
-    an empty table gives none.  Common words' counts are broadcast (a bounded lexicon); the others meet theirs in a join.
+    very long texts are scored whole; an empty table gives no rows.  Common words' counts are broadcast (a bounded lexicon);
+    the others meet theirs in a join.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
     docs = with_docs(docs, doc_id, text).withColumn("held_out", held_out(fold, remainder))
-    counts, lex, table = fit(docs.filter("NOT held_out"), scratch, **settings)
-    shared = spark.sparkContext.broadcast((lex, table))
+    counts, lex, model, z = fit(docs.filter("NOT held_out"), scratch, **settings)
+    shared = spark.sparkContext.broadcast((lex, model, z))
     ends = int(lex.counts[lex.index[b""]]) if b"" in lex.index else 0
     base_total = float(np.log10(lex.total + 0.5 * (lex.distinct + 1)))
 
     def run(batches):
         from pyspark import TaskContext
 
-        lex, table = shared.value
+        lex, model, z = shared.value
         row = TaskContext.get().partitionId() << 33
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "word", "n"]
         for b in batches:
-            docs, rare = [], ([], [], [])
-            for name, held, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), raw(b.column(1)), strict=True):
-                words = _words(body)
-                at, kind, away = sequence(words, lex)
-                here = at[at >= 0]
-                c = lex.counts[here]
-                seen = np.log10(c + 0.5)
-                chain = np.concatenate(([0], kind, [0]))
-                by_class = float(table[chain[:-1], chain[1:]].sum(dtype=np.float64)) - float(lex.within[kind].sum())
-                # A word that shares its class has its count over the class's; the end and own words are their class.
-                by_class += float(seen[lex.within[lex.classes[here]] != 0].sum())
-                base = float(seen.sum()) + float(np.log10(ends + 0.5)) - base_total * (len(words) + 1)
-                docs.append((row, name, held, len(words) + 1, len(here) + (ends > 0), base, by_class))
-                for w, n in Counter(words[i] for i in away).items():
-                    rare[0].append(row)
-                    rare[1].append(w)
-                    rare[2].append(n)
-                row += 1
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "word", "n"]
-            cols = [pa.array([d[i] for d in docs], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(docs), pa.string()), pa.nulls(len(docs), pa.int64())], names=names)
-            if rare[0]:
-                n = len(rare[0])
-                empty = [pa.nulls(n, k) for k in kinds[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), *empty, pa.array(rare[1], pa.binary()).cast(pa.string()), pa.array(rare[2], pa.int64())], names=names)
+            ids, held = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for first, bodies in pieces(b.column(1)):
+                docs, rare, parts, lengths = [], ([], [], []), [], []
+                for k, body in enumerate(bodies):
+                    words = _words(body)
+                    at, kind, away = sequence(words, lex)
+                    here = at[at >= 0]
+                    seen = np.log10(lex.counts[here] + 0.5)
+                    parts.append(kind)
+                    lengths.append(len(words) + 1)
+                    # A word that shares its class has its count over the class's; the end and own words are their class.
+                    inner = float(seen[lex.within[lex.classes[here]] != 0].sum()) - float(lex.within[kind].sum())
+                    base = float(seen.sum()) + float(np.log10(ends + 0.5)) - base_total * (len(words) + 1)
+                    docs.append((row, ids[first + k], held[first + k], len(words) + 1, len(here) + (ends > 0), base, inner))
+                    for w, n in Counter(words[i] for i in away).items():
+                        rare[0].append(row)
+                        rare[1].append(w)
+                        rare[2].append(n)
+                    row += 1
+                by_token = log_probabilities(model, z, grams(parts)).astype(np.float64)
+                ends_at = np.cumsum(lengths)
+                by_doc = np.add.reduceat(by_token, ends_at - lengths)
+                cols = [pa.array([d[i] for d in docs], k) for i, k in enumerate(kinds[:-1])]
+                cols.append(pa.array(by_doc + [d[6] for d in docs]))
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(docs), pa.string()), pa.nulls(len(docs), pa.int64())], names=names)
+                if rare[0]:
+                    n = len(rare[0])
+                    empty = [pa.nulls(n, k) for k in kinds[1:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), *empty, pa.array(rare[1], pa.binary()).cast(pa.string()), pa.array(rare[2], pa.int64())], names=names)
 
     passed = scratch.keep(docs.mapInArrow(run, PASSED), "passed")
     met = passed.filter("word IS NOT NULL").select("row", "word", "n").join(counts, "word", "left")
