@@ -1,13 +1,18 @@
 """Main text of web pages by consensus of each host.
 
 Every page is parsed into containers, whose generalised tag-class paths are scored by their text.  A page votes for the path
-of its best container; Spark counts the votes of each host; pages are then extracted again with their host's winning path,
-or with their own best where they don't have that path or have text outside it.
+of its densest container and names what else it has: the texts of containers outside.  Spark counts the votes of each host,
+and which texts outside the winning path return on pages of different content.  Pages are then extracted again: by the
+host's winning path, where nothing but link lists and such returning texts lies outside it; else, as nothing of a page may be lost,
+by the page's own best container without the returning texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -17,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -67,13 +73,59 @@ def purpose(token: str) -> tuple[bool, bool, bool]:
     return noise, noise and not bad <= TOPICS, bool(words & GOOD_WORDS) and words <= GOOD_WORDS | NEUTRAL
 
 
+class Tags:
+    """The tags of a page, one after another, in time linear in the page.
+
+    A quoted value may hold ``>``.  Where quotes leave a tag without an end, it and all later ones end at their first ``>``;
+    what has no ``>`` at all is text.
+    """
+
+    __slots__ = ("source", "last", "strict")
+
+    def __init__(self, source: str):
+        self.source, self.last, self.strict = source, source.rfind(">"), True
+
+    def _end(self, at: int) -> int:
+        """Behind the ``>`` that ends a tag whose name ends at ``at``."""
+        source = self.source
+        if self.strict:
+            k = at
+            while m := _STOP.search(source, k):
+                if m[0] == ">":
+                    return m.end()
+                k = source.find(m[0], m.end()) + 1
+                if not k:
+                    break
+            self.strict = False
+        return source.find(">", at) + 1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether an end tag, name in lower case and attributes of the next tag; comments have no name."""
+        source = self.source
+        while (begin := source.find("<", at)) >= 0:
+            if source.startswith("<!--", begin):
+                end = source.find("-->", begin + 4)
+                return begin, end + 3 if end >= 0 else len(source), False, "", ""
+            if begin >= self.last:
+                return None
+            if source[begin + 1] in "!?":
+                return begin, source.find(">", begin) + 1, False, "", ""
+            if m := _NAME.match(source, begin):
+                end = self._end(m.end())
+                return begin, end, bool(m[1]), m[2].lower(), source[m.end() : end - 1]
+            at = begin + 1
+        return None
+
+
 class Page:
     """Blocks of a page and the containers they lie in."""
 
-    __slots__ = ("blocks", "parent", "label", "noise", "undivided", "good", "own")
+    __slots__ = ("blocks", "parent", "label", "noise", "undivided", "good", "own", "kind", "kinds")
 
     def __init__(self, source: str):
         self.parent, self.label, self.noise, self.undivided, self.good, self.own = [-1], [""], [False], [False], [False], [0]
+        #: Which path each container has: (path of the parent, label) by number, 0 the page.
+        self.kind, self.kinds = [0], {}
         self.blocks: list[tuple[int, str, int]] = []
         headings = self._parse(source)
         self._settle()
@@ -85,8 +137,10 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]
         text: list[str] = []
         linked, in_link, leaf, at = 0, 0, "", 0
-        scan = _TAG.search
+        scan = Tags(source).next
+        opened: Counter = Counter()  # tags on the stack
         muted: list[tuple[str, int]] = []  # the open MUTE element and what is open in it, with where they began
+        within: Counter = Counter()  # their tags
         open_ended: set[int] = set()  # where MUTE elements begin that have no end
         before = 0  # where the content of the outermost begins
 
@@ -103,59 +157,68 @@ class Page:
             linked = 0
 
         while at < len(source) or muted:
-            m = scan(source, at)
-            if muted and (not m or (m[1] and self._ends(m[2].lower(), muted, stack, leaf))):
+            m = scan(at)
+            # The end of an element around the open MUTE one.
+            if muted and (not m or m[2] and not within[m[3]] and (m[3] == leaf or (m[3] in CONTAINER or m[3] in LEAF) and opened[m[3]])):
                 open_ended.update(x for t, x in muted if t in MUTE)
                 muted.clear()
+                within.clear()
                 at = before
                 continue
             if not m:
                 text.append(source[at:])
                 break
-            if m.start() > at and not muted:
-                piece = source[at : m.start()]
+            begin, end, closing, tag, attrs = m
+            if begin > at and not muted:
+                piece = source[at:begin]
                 text.append(piece)
                 if in_link:
                     linked += len(piece.strip())
-            at = m.end()
-            if not m[2]:
+            at = end
+            if not tag:
                 continue
-            tag = m[2].lower()
-            if tag in RAW and not m[1]:
-                if not (tag in ("script", "style", "title") and m[3].endswith("/") and any(t == "svg" for t, _ in muted)):
+            if tag in RAW and not closing:
+                if not (tag in ("script", "style", "title") and attrs.endswith("/") and within["svg"]):
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                     at = end.end() if end else len(source)
                 continue
             if muted:
-                if not m[1]:
-                    if tag in CONTAINER or tag in LEAF or tag in MUTE and not (tag == "svg" and m[3].endswith("/")):
-                        muted.append((tag, m.start()))
-                elif any(t == tag for t, _ in muted):
-                    while (last := muted.pop())[0] != tag:
+                if not closing:
+                    if tag in CONTAINER or tag in LEAF or tag in MUTE and not (tag == "svg" and attrs.endswith("/")):
+                        muted.append((tag, begin))
+                        within[tag] += 1
+                elif within[tag]:
+                    while True:
+                        last = muted.pop()
+                        within[last[0]] -= 1
+                        if last[0] == tag:
+                            break
                         if last[0] in MUTE:
                             open_ended.add(last[1])
                 continue
             if tag in MUTE:
-                if not m[1] and not (tag == "svg" and m[3].endswith("/")) and m.start() not in open_ended:
-                    muted.append((tag, m.start()))
+                if not closing and not (tag == "svg" and attrs.endswith("/")) and begin not in open_ended:
+                    muted.append((tag, begin))
+                    within[tag] += 1
                     before = at
                 continue
-            if m[1]:
+            if closing:
                 if tag == "a":
                     in_link = 0
                 elif tag in CONTAINER:
-                    if any(t == tag for t, _ in stack):
+                    if opened[tag]:
                         close()
                         leaf, in_link = "", 0
-                        while stack.pop()[0] != tag:
-                            pass
-                        if not stack:
-                            stack.append(("", 0))
+                        while True:
+                            last = stack.pop()[0]
+                            opened[last] -= 1
+                            if last == tag:
+                                break
                 elif tag in LEAF:
                     close()
                     leaf = ""
                     if stack[-1][0] == tag:
-                        stack.pop()
+                        opened[stack.pop()[0]] -= 1
                 continue
             if tag in VOID:
                 text.append(" ")
@@ -167,30 +230,29 @@ class Page:
                 in_link = 0
                 if stack[-1][0] in LEAF:
                     if not (stack[-1][0] in ("li", "td", "th", "dd", "blockquote") and tag in ("p", "ul", "ol", "div", "table", "blockquote", "h2", "h3", "h4", "dl", "figure", "section")):
-                        stack.pop()
+                        opened[stack.pop()[0]] -= 1
                 leaf = tag if tag in LEAF else ""
-                label, own, undivided, good = self._kind(tag, m[3])
+                label, own, undivided, good = self._kind(tag, attrs)
                 if tag in CONTAINER or own:
-                    self.parent.append(stack[-1][1])
+                    up = stack[-1][1]
+                    self.parent.append(up)
                     self.label.append(label)
                     self.own.append(own)
                     self.undivided.append(undivided)
                     self.good.append(good)
+                    self.kind.append(self.kinds.setdefault((self.kind[up], label), len(self.kinds) + 1))
                     stack.append((tag, len(self.parent) - 1))
+                    opened[tag] += 1
                 elif tag in ("li", "td", "th", "dd", "blockquote"):
                     stack.append((tag, stack[-1][1]))
-            elif m[3] and self._kind(tag, m[3])[1]:  # an inline element that is hidden or noise by its role
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                if end and "<" not in source[at : end.start()]:
-                    at = end.end()
+                    opened[tag] += 1
+            elif attrs and self._kind(tag, attrs)[1]:  # an inline element that is hidden or noise by its role
+                close_at = source.find("<", at)
+                if close_at >= 0 and (end_tag := _NAME.match(source, close_at)) and end_tag[1] and end_tag[2].lower() == tag:
+                    at = source.find(">", close_at) + 1 or close_at
         close()
         return headings
 
-    @staticmethod
-    def _ends(tag: str, muted: list[tuple[str, int]], stack: list[tuple[str, int]], leaf: str) -> bool:
-        """Whether an end tag is that of an element around the open MUTE element."""
-        return not any(t == tag for t, _ in muted) and (tag == leaf or (tag in CONTAINER or tag in LEAF) and any(t == tag for t, _ in stack))
-
     def _settle(self) -> None:
         """Which containers are noise, now that it is known where the page's text lies."""
         n, parent, own = len(self.parent), self.parent, self.own
@@ -261,7 +323,7 @@ class Page:
                             named = named or (anyhow if topical else bad)
                             good = good or fine
                     if key == "class":
-                        names += sorted({re.sub(r"\d+", "#", x.lower()) for x in value.split()})
+                        names += sorted({re.sub(r"\d+", "#", x.lower()).replace(">", "") for x in value.split()})
                 elif key == "role":
                     named = named or value.lower() == "form"
                     noise = noise or value.lower() in NOISE_ROLES
@@ -313,42 +375,120 @@ class Page:
             at = whole[0]
         return at[0], sum(own[n] for n in at)
 
-    def _under(self, path: str) -> list[bool]:
-        hit = [not path] * len(self.parent)
+    def densest(self, least: float = 0.6) -> tuple[str, float]:
+        """Path and score of the deepest containers of one path that hold at least that share of the best one's text."""
+        node, score = self.best()
+        solid = [0] * len(self.parent)
+        for n, body, linked in self.blocks:
+            solid[n] += 0 if len(body) - linked < LINKS * len(body) else len(body)
+        for n in range(len(solid) - 1, 0, -1):
+            solid[self.parent[n]] += solid[n]
+        children: dict[int, list[int]] = {}
+        for n in range(1, len(solid)):
+            children.setdefault(self.parent[n], []).append(n)
+        at = [n for n in range(len(solid)) if self.kind[n] == self.kind[node]]
+        need = least * sum(solid[n] for n in at)
+        while need and not any(self.undivided[n] for n in at):
+            below: dict[str, list[int]] = {}
+            for n in at:
+                for child in children.get(n, ()):
+                    below.setdefault(self.label[child], []).append(child)
+            most = max(below.values(), key=lambda x: sum(solid[n] for n in x), default=[])
+            if sum(solid[n] for n in most) < need or not most or self.label[most[0]].split(".")[0] in LISTS:
+                break
+            at = most
+        return self.path(at[0]), score
+
+    def beside(self, path: str) -> tuple[list[tuple[str, int, list[int]]], bool]:
+        """(path, hash of the text, numbers of the blocks) of each container outside those of ``path`` that has more than link lists,
+        the outermost that holds none of them; and whether such blocks lie outside any of these."""
+        kind = self.number(path)
+        hit = self.under(kind) if kind is not None else [False] * len(self.parent)
+        holds = hit.copy()
+        for n in range(len(holds) - 1, 0, -1):
+            holds[self.parent[n]] = holds[self.parent[n]] or holds[n]
+        top = list(range(len(self.parent)))
+        for n in range(1, len(top)):
+            up = self.parent[n]
+            if not holds[n] and not holds[up]:
+                top[n] = top[up]
+        found: dict[int, list[int]] = {}
+        solid, loose = set(), False
+        for k, (n, body, linked) in enumerate(self.blocks):
+            if hit[n]:
+                continue
+            filled = len(body) - linked >= LINKS * len(body)
+            if holds[n] or n == 0:
+                loose = loose or filled
+                continue
+            found.setdefault(top[n], []).append(k)
+            if filled:
+                solid.add(top[n])
+        items = []
+        for n in sorted(solid):
+            text = "\n".join(self.blocks[k][1] for k in found[n])
+            items.append((self.path(n), int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), found[n]))
+        return items, loose
+
+    def main(self, winner: str | None, returning: dict[str, int]) -> str:
+        """The page's text, by its host's winning path and the texts that return beside it."""
+        own = self.path(self.best()[0])
+        if not winner or self.number(winner) is None:
+            return self.text(own)
+        items, loose = self.beside(winner)
+        again = [x for x in items if returning.get(x[0]) == x[1]]
+        if len(again) == len(items) and not loose:
+            return self.text(winner) or self.text(own)
+        gone = {k for _, _, blocks in again for k in blocks}
+        hit = self.under(self.number(own) or 0)
+        return "\n".join(b for k, (n, b, _) in enumerate(self.blocks) if hit[n] and k not in gone)
+
+    def number(self, path: str) -> int | None:
+        """The number of a path, None where the page doesn't have it."""
+        at: int | None = 0
+        for label in path.split(">") if path else ():
+            at = self.kinds.get((at, label))
+            if at is None:
+                return None
+        return at
+
+    def under(self, kind: int) -> list[bool]:
+        """Which containers lie in one of that path, or are one."""
+        hit = [kind == 0] * len(self.parent)
         for node in range(1, len(self.parent)):
-            hit[node] = hit[self.parent[node]] or self.path(node) == path
+            hit[node] = hit[self.parent[node]] or self.kind[node] == kind
         return hit
 
     def text(self, path: str) -> str:
         """The blocks in containers of that path, in page order, one a line."""
-        hit = self._under(path)
-        return "\n".join(b for n, b, _ in self.blocks if hit[n])
+        kind = self.number(path)
+        return "" if kind is None else "\n".join(self.lines(self.under(kind)))
 
-    def holds(self, path: str) -> bool:
-        """Whether only link lists are left outside containers of that path."""
-        hit = self._under(path)
-        return all(hit[n] or len(b) - linked < LINKS * len(b) for n, b, linked in self.blocks)
-
-    def paths(self) -> set[str]:
-        return {self.path(n) for n in range(len(self.parent))}
+    def lines(self, hit: list[bool]) -> list[str]:
+        return [b for n, b, _ in self.blocks if hit[n]]
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+VOTES = "host string, path string, score double, main long, beside array<struct<path:string,text:long>>"
+
+
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path and score of each page's best container (page_id, host, html in)."""
+    """Of each page (host, html): the path of its densest container, its score, a hash of its text, and what lies beside it."""
 
     def run(_: dict, b: pa.RecordBatch) -> dict:
-        path, score = [], []
+        path, score, main, beside = [], [], [], []
         for source in b.column(1).to_pylist():
             page = Page(source or "")
-            node, s = page.best()
-            path.append(page.path(node))
+            p, s = page.densest()
+            path.append(p)
             score.append(s)
-        return {"host": b.column(0), "path": path, "score": score}
+            main.append(zlib.crc32(page.text(p).encode("utf-8", "surrogatepass")))
+            beside.append([{"path": q, "text": h} for q, h, _ in page.beside(p)[0]])
+        return {"host": b.column(0), "path": path, "score": score, "main": main, "beside": beside}
 
-    return arrow_map(pages.select("host", "html"), run, "host string, path string, score double").filter("score > 0")
+    return arrow_map(pages.select("host", "html"), run, VOTES).filter("score > 0")
 
 
 def consensus(voted: DataFrame, least_share: float = 0.5) -> DataFrame:
@@ -358,25 +498,45 @@ def consensus(voted: DataFrame, least_share: float = 0.5) -> DataFrame:
     return top.filter(F.col("top.n") >= least_share * F.col("all")).select("host", F.col("top.path").alias("winner"))
 
 
-def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = 200_000) -> DataFrame:
+def returning(voted: DataFrame, winners: DataFrame, least_pages: int = 3, least_share: float = 0.5) -> DataFrame:
+    """host and an array of (path, text): the text a container beside the winning path has on most of the host's pages that have
+    the container, and on at least ``least_pages`` of different content.  One text a path at most."""
+    beside = voted.join(winners.withColumnRenamed("winner", "path"), ["host", "path"], "left_semi").select("host", "main", F.explode("beside").alias("b"))
+    each = beside.groupBy("host", F.col("b.path").alias("path"), F.col("b.text").alias("text"), "main").agg(F.count("*").alias("n"))
+    each = each.groupBy("host", "path", "text").agg(F.sum("n").alias("n"), F.count("*").alias("contents"))
+    top = each.groupBy("host", "path").agg(F.max(F.struct("n", "contents", "text")).alias("top"), F.sum("n").alias("all"))
+    top = top.filter((F.col("top.contents") >= least_pages) & (F.col("top.n") >= least_share * F.col("all")))
+    return top.groupBy("host").agg(F.collect_list(F.struct("path", F.col("top.text").alias("text"))).alias("returning"))
+
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+
+
+def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_hosts: int = 50_000) -> DataFrame:
     """page_id, url, text and n_chars of every row.
 
-    A null or empty html gives an empty text; pages without a host vote together; repeated rows each get their row; an empty
-    table gives none.  Hosts' winners are broadcast only when counted at ``broadcast_hosts`` at most, else joined by host.
+    A null or empty html gives an empty text; pages without a host vote together; repeated rows each get their row (they count as
+    one content); very long pages are parsed whole, in time linear in their length; an empty table gives none.  Hosts'
+    winners are broadcast only when counted at ``broadcast_hosts`` at most, else joined by host, a host of many pages being split.
     """
     scratch = Scratch(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     rows = rows.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))))
-    winners = scratch.keep(consensus(votes(rows)), "winners")
-    small = winners.limit(broadcast_hosts + 1).count() <= broadcast_hosts
-    joined = rows.join(F.broadcast(winners) if small else winners, "host", "left").select("page_id", "url", "html", "winner")
+    voted = scratch.keep(votes(rows), "votes")
+    winners = scratch.keep(consensus(voted), "winners")
+    hosts = scratch.keep(winners.join(returning(voted, winners), "host", "left"), "hosts")
+    scratch.drop("votes", "winners")
+    if hosts.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+        joined = rows.join(F.broadcast(hosts), "host", "left")
+    else:
+        parts = 64
+        copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).cast("int")).join(copies, ["host", "salt"], "left")
 
     def run(_: dict, b: pa.RecordBatch) -> dict:
         got = []
-        for source, winner in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            page = Page(source or "")
-            body = page.text(winner) if winner and page.holds(winner) else ""
-            got.append(body or page.text(page.path(page.best()[0])))
+        for source, winner, again in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            got.append(Page(source or "").main(winner, {x["path"]: x["text"] for x in again or ()}))
         return {"page_id": b.column(0), "url": b.column(1), "text": got, "n_chars": [len(x) for x in got]}
 
-    return arrow_map(joined, run, "page_id long, url string, text string, n_chars long")
+    return arrow_map(joined.select("page_id", "url", "html", "winner", "returning"), run, "page_id long, url string, text string, n_chars long")

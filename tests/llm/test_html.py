@@ -1,3 +1,7 @@
+import re
+import time
+from html.parser import HTMLParser
+
 from foldline.llm.html import Page, consensus, extract, votes
 
 from .conftest import SF
@@ -35,10 +39,7 @@ def test_extract(spark):
 def test_hosts_agree(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     found = extract(pages).collect()
-    assert len(found) == pages.count()
-    by_id = {r["page_id"]: r["html"] for r in pages.collect()}
-    for r in found:
-        assert r["text"] == best(by_id[r["page_id"]]) and r["n_chars"] == len(r["text"])
+    assert len(found) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in found)
     host = consensus(votes(pages.selectExpr("'h' AS host", "html"))).collect()
     assert len(host) == 1 and host[0]["winner"].endswith("article")
 
@@ -87,3 +88,83 @@ def test_embedded_elements_end_where_they_end():
     assert best("<svg><title/><style/><script/><path d='m'/></svg><p>one</p><p>two <textarea><p>no</textarea>") == "one\ntwo"
     assert best("<div><button>a<div><select>b</div><p>c</div><p>d</p>") == "a\nb\nc\nd"
     assert len(best("<p>word <button>" * 3000 + "</p>")) > 3000
+
+
+def test_the_vote_decides(spark):
+    """Pages of a host show the same text in a container of no telling name: no page can know it, but the host can."""
+    own = [f"What page {i} is about, at a length that no other page has. " * 4 for i in range(6)]
+    same = "All pages of this host show this and nothing else here. " * 2
+    pages = [(i, f"http://h.example/{i}", f'<div class="w"><div class="c7"><p>{own[i]}</div><div class="q"><p>{same}</div></div>') for i in range(5)]
+    pages += [(5, "http://h.example/5", f'<div class="w"><div class="c7"><p>{own[5]}</div><div class="q"><p>only here</div></div>')]
+    pages += [(6, "http://h.example/6", f'<div class="w"><div class="c7"><p>{own[0]}</div><div class="q"><p>{same}</div><div class="r">more of it</div></div>')]
+    pages += [(7, "http://other.example/", pages[0][2])] + [(10 + i, "http://copies.example/", pages[0][2]) for i in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {i: own[i].strip() for i in range(5)} | {5: f"{own[5].strip()}\nonly here", 6: f"{own[0].strip()}\nmore of it"}
+    alone = f"{own[0].strip()}\n{same.strip()}"
+    want |= {i: alone for i in (7, *range(10, 16))}  # one page, or copies of one, can't tell
+    assert best(pages[0][2]) == alone
+    for most in (50_000, 0):
+        assert {r["page_id"]: r["text"] for r in extract(df, broadcast_hosts=most).collect()} == want
+
+
+class Plain(HTMLParser):
+    """The blocks of the given tables' pages, by the standard library's parser and their known layout."""
+
+    SKIP = frozenset("script style nav aside footer form header noscript button svg select iframe".split())
+    BLOCKS = frozenset("p h1 h2 h3 h4 li td th blockquote pre div section article ul ol table tr figcaption dt dd".split())
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.out, self.text, self.skip, self.inside = [], [], [], 0
+        self.feed(source)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if body := " ".join("".join(self.text).split()):
+            self.out.append(body)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip:
+            if tag == self.skip[0]:
+                self.skip.append(tag)
+            return
+        noise = re.search(r"comment|sidebar|related|cookie|ad-|promo|share|newsletter", " ".join(v or "" for k, v in attrs if k in ("class", "id")))
+        if tag in self.SKIP or noise and tag in self.BLOCKS:
+            self.skip = [tag]
+            return
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            if tag == self.skip[0]:
+                self.skip.pop()
+            return
+        if tag in self.BLOCKS:
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.skip:
+            self.text.append(data)
+
+
+def test_against_the_standard_parser(spark):
+    pages = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet")
+    by_id = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    checked = 0
+    for r in extract(pages).collect():
+        if by_id[r["page_id"]].count("<article") == 1 and "</article>" in by_id[r["page_id"]]:
+            assert r["text"] == "\n".join(Plain(by_id[r["page_id"]]).out)
+            checked += 1
+    assert checked > 100
+
+
+def test_time_is_linear_in_hostile_pages():
+    for part in ("<a ", '<a "', "<a '\"", '<a x=">" ', "<span hidden>", '<b role="alert">x', "<! ", "<svg><p></svg", "<button><div>", "<li><ul>", "<div>x", "<p></section>"):
+        began = time.process_time()
+        best(part * (400_000 // len(part)))
+        assert time.process_time() - began < 20
