@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import file_score, path_bytes
 
@@ -26,14 +25,24 @@ def content_identity(df: DataFrame, *, id: str, size: str, content: Column, out:
     ).drop("_alone")
 
 
-def elect_by(df: DataFrame, key: str, order: list[Column], out: str = "is_master") -> DataFrame:
-    """Flags the first row of each group under ``order``."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn(out, F.col("_rank") == 1).drop("_rank")
+def _best(dir: str = "file_dir", name: str = "file_name") -> list[Column]:
+    """Highest score, then shortest path in bytes, then folder and name, as ascending columns."""
+    return [-file_score(F.col(dir), F.col(name)), path_bytes(F.col(dir), F.col(name)), F.col(dir), F.col(name)]
 
 
-def elect_masters(df: DataFrame, *, key: str = "file_hash", dir: str = "file_dir", name: str = "file_name") -> DataFrame:
-    """The best-named file of each group: highest score, then shortest path in bytes, then folder and name."""
-    return elect_by(df, key, [file_score(F.col(dir), F.col(name)).desc(), path_bytes(F.col(dir), F.col(name)), F.col(dir), F.col(name)])
+def elect_by(df: DataFrame, key: str, order: list[Column], id: str, out: str = "is_master") -> DataFrame:
+    """Flags the first row of each group under ``order`` (ascending), then ``id``.
+
+    Partial minima are merged, and the winners' ids, not the groups, meet the rows again, so no group comes together in a task.
+    """
+    won = df.groupBy(key).agg(F.min(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)), F.col(id).alias("_id"))).alias("_w"))
+    won = won.select(F.col("_w._id").alias(id), F.lit(True).alias("_won"))
+    return df.join(won, id, "left").withColumn(out, F.coalesce("_won", F.lit(False))).drop("_won")
+
+
+def elect_masters(df: DataFrame, *, key: str = "file_hash", dir: str = "file_dir", name: str = "file_name", id: str = "file_id") -> DataFrame:
+    """The best-named file of each group."""
+    return elect_by(df, key, _best(dir, name), id)
 
 
 def winners(df: DataFrame, key: str, score: Column, ties: list[str]) -> DataFrame:
@@ -42,12 +51,15 @@ def winners(df: DataFrame, key: str, score: Column, ties: list[str]) -> DataFram
     return df.groupBy(key).agg(best.alias("_w")).select("_w.*")
 
 
-def settle_masters(members: DataFrame, *, key: str = "file_hash", live: str = "is_live") -> DataFrame:
+def settle_masters(members: DataFrame, *, key: str = "file_hash", live: str = "is_live", id: str = "file_id") -> DataFrame:
     """After an election: a lone live survivor of a group is its master again; deleted members of a group that has
-    several live ones are demoted with the rest, and otherwise stay as they were."""
-    w = Window.partitionBy(key)
-    alive = F.sum(F.when(F.col(live), 1).otherwise(0)).over(w)
-    first = F.row_number().over(w.orderBy(F.col(live).desc(), file_score(F.col("file_dir"), F.col("file_name")).desc(), path_bytes(F.col("file_dir"), F.col("file_name")), "file_dir", "file_name"))
-    marked = members.withColumn("_alive", alive).withColumn("_first", first)
-    new = F.when(F.col("_alive") > 1, F.col(live) & (F.col("_first") == 1)).when((F.col("_alive") == 1) & F.col(live), True).otherwise(F.col("is_master"))
-    return marked.withColumn("is_master", new).drop("_alive", "_first")
+    several live ones are demoted with the rest, and otherwise stay as they were.
+
+    Live rows meet the winners by id; only deleted ones meet their groups.
+    """
+    alive = members.filter(F.col(live))
+    won = elect_by(alive, key, _best(), id)
+    gone = members.filter(~F.coalesce(F.col(live), F.lit(False)))
+    crowded = repeated_keys(alive, key).select(key, F.lit(True).alias("_c"))
+    gone = gone.join(crowded, key, "left").withColumn("is_master", F.when(F.col("_c"), F.lit(False)).otherwise(F.col("is_master")))
+    return won.select(*members.columns).unionByName(gone.select(*members.columns))

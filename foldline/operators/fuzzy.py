@@ -28,11 +28,19 @@ def search(names: DataFrame, wanted: str, *, id: str, name: str, index: DataFram
 def match_all(names: DataFrame, queries: DataFrame, *, id: str, name: str, query_id: str, query: str, most: int = 2) -> DataFrame:
     """Every (query, name) within ``most`` edits that shares a trigram, nearest first: for a stated query set.
 
-    Pairs meet by trigram equality; a name of n letters within k edits keeps at least n - 3k of its n trigrams, which prunes
-    pairs before any distance is worked out.
+    An edit touches three trigrams at most, so of any ``3 * most + 1`` of a query's trigrams a match has one: only that many,
+    the rarest, are joined by.  Pairs whose lengths are farther apart than the edits go before distances are worked out.
     """
-    a = names.select(F.col(id), F.col(name), F.explode(F.array_distinct(trigrams(F.col(name)))).alias("_g"))
-    b = queries.select(F.col(query_id), F.col(query), F.explode(F.array_distinct(trigrams(F.col(query)))).alias("_g"))
-    met = b.join(a, "_g").groupBy(query_id, query, id, name).agg(F.count("*").alias("overlap"))
+    grams = lambda c: F.array_distinct(trigrams(F.col(c)))
+    a = names.select(F.col(id), F.col(name), grams(name).alias("_a"))
+    ga = a.select(F.col(id), F.col(name), "_a", F.explode("_a").alias("_g"))
+    b = queries.select(F.col(query_id), F.col(query), grams(query).alias("_b"))
+    gb = b.select(F.col(query_id), F.col(query), "_b", F.explode("_b").alias("_g"))
+    common = ga.groupBy("_g").agg(F.count("*").alias("_n"))
+    rare = Window.partitionBy(query_id).orderBy(F.coalesce("_n", F.lit(0)), "_g")
+    gb = gb.join(common, "_g", "left").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= 3 * most + 1).drop("_n", "_r")
+    met = gb.join(ga, "_g").filter(F.abs(F.length(name) - F.length(query)) <= most).drop("_g")
     d = F.levenshtein(F.lower(F.col(name)), F.lower(F.col(query)))
-    return met.withColumn("edits", d).filter(F.col("edits") <= most).withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("edits", F.desc("overlap"), name, id)))
+    met = met.withColumn("edits", d).filter(F.col("edits") <= most).dropDuplicates([query_id, id])
+    met = met.withColumn("overlap", F.size(F.array_intersect("_a", "_b")).cast("long")).drop("_a", "_b")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy("edits", F.desc("overlap"), name, id)))

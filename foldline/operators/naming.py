@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _split(name: str) -> tuple[str, str]:
@@ -27,10 +28,11 @@ def claim(directory: str, name: str, taken: set[str], hints: dict[str, int] | No
 
 
 def unique_targets(df: DataFrame, *, directory: str, name: str, order: list[str], out: str = "target_path") -> DataFrame:
-    """Claims paths folder by folder (letter case aside) in ``order``; names without a clash never leave the JVM.
+    """Claims paths folder by folder (letter case aside) in ``order``.
 
-    A folder's clash can only be between names whose stem, less trailing _digits, is the same, so such families, not whole
-    folders, go to a task, streamed in order with just the set of taken paths held.
+    Only names whose stem, less trailing _digits, is the same can meet: a family.  A family in which no name occurs twice keeps
+    all its names, and one of a single name is numbered by a window; neither leaves the JVM.  The others go to a task each,
+    streamed in order with just the set of taken paths held.
     """
     import pandas as pd
     from pyspark.sql.types import StringType, StructField, StructType
@@ -40,10 +42,17 @@ def unique_targets(df: DataFrame, *, directory: str, name: str, order: list[str]
     ext = F.regexp_extract(base, r"(\.[^.]*)\z", 1)
     family = F.concat_ws("\0", low, F.regexp_replace(stem, r"(_\d+)+\z", ""), ext)
     keyed = df.withColumn("_family", family)
-    sizes = keyed.groupBy("_family").agg(F.count("*").alias("_n"))
+    sizes = keyed.groupBy("_family", base.alias("_base")).agg(F.count("*").alias("_n"))
+    sizes = sizes.groupBy("_family").agg(F.max("_n").alias("_most"), F.count("*").alias("_names"))
     keyed = keyed.join(sizes, "_family")
-    lone = keyed.filter("_n = 1").withColumn(out, F.concat_ws("/", F.col(directory), F.col(name))).drop("_family", "_n")
-    many = keyed.filter("_n > 1").drop("_n")
+    whole = F.concat_ws("/", F.col(directory), F.col(name))
+    lone = keyed.filter("_most = 1").withColumn(out, whole).drop("_family", "_most", "_names")
+    n = F.row_number().over(Window.partitionBy("_family").orderBy(*order))
+    first = F.regexp_replace(F.col(name), r"\.[^.]*\z", "")
+    last = F.regexp_extract(F.col(name), r"(\.[^.]*)\z", 1)
+    counted = F.concat(F.col(directory), F.lit("/"), first, F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), last)
+    alike = keyed.filter("_most > 1 AND _names = 1").withColumn(out, counted).drop("_family", "_most", "_names")
+    many = keyed.filter("_most > 1 AND _names > 1").drop("_most", "_names")
     schema = StructType([*lone.drop(out).schema.fields, StructField(out, StringType())])
     columns = [f.name for f in schema.fields[:-1]]
 
@@ -59,8 +68,8 @@ def unique_targets(df: DataFrame, *, directory: str, name: str, order: list[str]
             new[out] = pd.Series(got, index=pdf.index, dtype=object)
             yield new
 
-    claimed = many.repartition("_family").sortWithinPartitions("_family", *order).mapInPandas(run, schema)
-    return lone.unionByName(claimed)
+    claimed = many.select("_family", *columns).repartition("_family").sortWithinPartitions("_family", *order).mapInPandas(run, schema)
+    return lone.unionByName(alike).unionByName(claimed)
 
 
 def reclaim(df: DataFrame, *, path: str, moved: str, order: list[str], out: str = "target_path") -> DataFrame:

@@ -32,22 +32,24 @@ def global_sessions(df: DataFrame, *, ts: str, gap_seconds: float, out: str = "s
 
     Rows fall into buckets at least a gap wide.  Only each bucket's first and last time can meet another bucket's, so the
     buckets' summaries are ordered (few rows, whatever the table's size), sessions begun before each bucket counted, and
-    the rest numbered within buckets.
+    the rest numbered within buckets.  A bucket is a quarter of an hour or a gap, so a busy day is many; rows without a time
+    take no part.
     """
-    width = max(float(gap_seconds), 86400.0)
-    dated = df.withColumn("_b", F.floor(_seconds(F.col(ts)) / width).cast("long"))
+    width = max(float(gap_seconds), 900.0)
+    dated = df.filter(F.col(ts).isNotNull()).withColumn("_b", F.floor(_seconds(F.col(ts)) / width).cast("long"))
     inner = Window.partitionBy("_b").orderBy(ts)
     begins = F.coalesce(_seconds(F.col(ts)) - _seconds(F.lag(ts).over(inner)) > gap_seconds, F.lit(False))
     inside = dated.withColumn("_new", begins.cast("int")).withColumn("_at", F.sum("_new").over(inner.rangeBetween(Window.unboundedPreceding, 0)))
-    sums = inside.filter(F.col(ts).isNotNull()).groupBy("_b").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum("_new").alias("_n"))
+    sums = inside.groupBy("_b").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum("_new").alias("_n"))
     along = Window.orderBy("_b")
     starts = F.coalesce(_seconds(F.col("_lo")) - _seconds(F.lag("_hi").over(along)) > gap_seconds, F.lit(True)).cast("int")
     sums = sums.withColumn("_s", starts)
     sums = sums.withColumn("_base", F.sum(F.col("_s") + F.coalesce(F.lag("_n").over(along), F.lit(0))).over(along)).select("_b", "_base")
-    undated = df.filter(F.col(ts).isNull()).limit(1).count()
-    joined = inside.join(sums, "_b", "left")
-    number = F.when(F.col(ts).isNull(), 1).otherwise(F.col("_base") + F.col("_at") + undated)
-    return joined.withColumn(out, number.cast("long")).drop("_b", "_new", "_at", "_base")
+    undated = df.filter(F.col(ts).isNull())
+    first = undated.limit(1).agg(F.count("*").alias("_u"))  # one row: whether session 1 is that of rows without a time
+    joined = inside.join(sums, "_b").crossJoin(F.broadcast(first))
+    numbered = joined.withColumn(out, (F.col("_base") + F.col("_at") + F.col("_u")).cast("long")).drop("_b", "_new", "_at", "_base", "_u")
+    return numbered.unionByName(undated.withColumn(out, F.lit(1).cast("long")))
 
 
 def session_starts(df: DataFrame, *, ts: str, session: str, keys: list[str] | None = None, span_seconds: float = SPAN_SECONDS, out: str = "folder_date") -> DataFrame:

@@ -11,9 +11,9 @@ from foldline.operators.islands import merged_days, settle
 def test_election(spark):
     rows = [(1, "abc", "/photos/trips/goa", "sunset.jpg"), (2, "abc", "/backup/dcim", "IMG_3162.jpg"), (3, "solo", "/photos/trips/goa", "beach.jpg"), (4, "t", "/p", "beach_b.jpg"), (5, "t", "/p", "beach_a.jpg"), (6, "u", "/Users/x/Photos/dcim", "IMG_1.jpg"), (7, "u", "/Users/x/Photos/Goa Trip 2024", "IMG_1.jpg")]
     df = spark.createDataFrame(rows, "id long, file_hash string, file_dir string, file_name string")
-    assert {r["id"] for r in dedup.elect_masters(df).filter("is_master").collect()} == {1, 3, 5, 7}
+    assert {r["id"] for r in dedup.elect_masters(df, id="id").filter("is_master").collect()} == {1, 3, 5, 7}
     state = df.withColumn("is_live", F.col("id") != 1).withColumn("is_master", F.col("id").isin(1, 3, 5, 7))
-    assert {r["id"] for r in dedup.settle_masters(state).filter("is_master AND is_live").collect()} == {2, 3, 5, 7}
+    assert {r["id"] for r in dedup.settle_masters(state, id="id").filter("is_master AND is_live").collect()} == {2, 3, 5, 7}
     got = dedup.winners(df, "file_hash", F.col("id"), ["id"]).collect()
     assert {r["id"] for r in got} == {2, 3, 5, 7}
 
