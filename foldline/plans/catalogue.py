@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dedup import settle_masters, unique_keys
-from ..schema import DISCOVERED, SIDECAR, PlanConfig
+from ..operators.summary import distinct_values
+from ..schema import APPROVED, DISCOVERED, PROPOSED, SIDECAR, USER_LABELS, PlanConfig
 from ..sources import files
 from ..sources import store as S
 from .planner import propose
-from .review import Node, build_tree, confirm, folder_table
+from .review import Node, build_tree, confirm, folder_table, given_names
 
 RETENTION_DAYS = 30
 
@@ -22,10 +23,17 @@ def stamp(now: dt.datetime) -> str:
 
 
 def scan(store: S.Store, roots: list[str], now: dt.datetime, force: bool = False) -> int:
-    """Files seen are put in the registry, unseen ones under the roots are deleted, and those long deleted are purged."""
+    """Files seen are put in the registry, unseen ones under the roots are deleted, and those long deleted are purged.
+
+    A root that can't be read is passed over, and its files stay as they were; an error where none can be.
+    """
     at = stamp(now)
-    roots = files.reduce_roots(roots)
-    seen = files.walk(store.spark, roots).withColumn("volume_uuid", F.lit(None).cast("string"))
+    good, bad = files.readable(roots)
+    if bad and not good:
+        raise NotADirectoryError(", ".join(bad))
+    roots = files.reduce_roots(good)
+    seen = files.walk(store.spark, roots)
+    seen = seen.withColumn("volume_uuid", files.volume_column(F.col("file_dir"), files.volumes(roots)))
     registry = S.sweep(S.upsert(store.read("file_registry"), seen, at, force), roots, at)
     kept = S.purge(registry, store.read("file_metadata"), store.read("entries"), stamp(now - dt.timedelta(days=RETENTION_DAYS)))
     return store.commit(**dict(zip(("file_registry", "file_metadata", "entries"), kept, strict=True)))["file_registry"]
@@ -60,16 +68,26 @@ def score(store: S.Store) -> int:
     return members.groupBy("file_hash").count().filter("count > 1").count()
 
 
+def masters(registry: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Live files that are masters, with what is known of them."""
+    alive = S.live(registry).select(F.col("id").alias("file_id"), "file_dir", "file_name", "file_modified_at", "media_type")
+    return alive.join(metadata.filter("is_master").drop("created_at"), "file_id")
+
+
 def live_masters(store: S.Store) -> DataFrame:
-    alive = S.live(store.read("file_registry")).select(F.col("id").alias("file_id"), "file_dir", "file_name", "file_modified_at", "media_type")
-    return alive.join(store.read("file_metadata").filter("is_master").drop("created_at"), "file_id")
+    return masters(store.read("file_registry"), store.read("file_metadata"))
 
 
 def plan(store: S.Store, cfg: PlanConfig, places: DataFrame | None, now: dt.datetime) -> int:
-    """A proposal for all live masters; rows that were decided stay."""
-    masters = live_masters(store)
-    proposal = propose(masters, cfg, places).withColumn("created_at", F.lit(stamp(now)))
-    return store.commit(entries=S.replace_proposals(store.read("entries"), proposal, masters))["entries"]
+    """A proposal for all live masters; rows that were decided stay.  The settings' fingerprint is kept with it."""
+    found = live_masters(store)
+    proposal = propose(found, cfg, places).withColumn("created_at", F.lit(stamp(now)))
+    return store.commit(files.config_stamp(cfg), entries=S.replace_proposals(store.read("entries"), proposal, found))["entries"]
+
+
+def is_stale(store: S.Store, cfg: PlanConfig) -> bool:
+    """Whether there is a proposal and it was made with other settings."""
+    return store.stamp is not None and store.stamp != files.config_stamp(cfg)
 
 
 def run(store: S.Store, roots: list[str], documents: DataFrame, cfg: PlanConfig = PlanConfig(), places: DataFrame | None = None, force: bool = False, now: dt.datetime | None = None) -> dict[str, int]:
@@ -83,5 +101,26 @@ def review(store: S.Store) -> list[Node]:
     return build_tree(folder_table(store.read("entries"), store.read("file_metadata")))
 
 
-def approve(store: S.Store, tree: list[Node], inside=None) -> None:
-    store.commit(entries=confirm(store.read("entries"), tree, inside))
+def labels(store: S.Store) -> list[str]:
+    """Names that users gave before, in order."""
+    return [r["label"] for r in distinct_values(store.read("user_labels"), column="label", out="label").collect()]
+
+
+def approve(store: S.Store, tree: list[Node], inside=None, now: dt.datetime | None = None) -> list[str]:
+    """Confirm the edited tree: rows of the slice are approved, and names that were given by hand are learned and returned."""
+    entries = store.read("entries")
+    confirmed, learned = confirm(entries, tree, inside), given_names(tree)
+    at = stamp(now or dt.datetime.now(dt.timezone.utc))
+    known = store.read("user_labels")
+    new = store.spark.createDataFrame([(n, "EVENT", at) for n in learned], USER_LABELS)
+    store.commit(entries=confirmed, user_labels=known.unionByName(new.join(known.select("label"), "label", "left_anti")))
+    return learned
+
+
+def set_slice(store: S.Store, inside, approved: bool) -> int:
+    """Approve a slice as it is proposed, or open an approved one again; how many rows changed."""
+    entries = store.read("entries")
+    frm = PROPOSED if approved else APPROVED
+    n = entries.filter(inside & (F.col("status") == frm)).count()
+    store.commit(entries=S.set_status(entries, inside, approved))
+    return n

@@ -7,12 +7,13 @@ applies to all rows.
 from __future__ import annotations
 
 import copy
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import common_prefix
+from ..functions.paths import common_prefix, prefixes
 from ..functions.times import format_day_range, parse_day_range
 from ..operators.naming import reclaim
 from ..operators.tree import rewrite_prefix, roll_up
@@ -33,6 +34,7 @@ class Node:
     lat: float | None = None
     lon: float | None = None
     merged: list[str] = field(default_factory=list)
+    given: bool = False  # named by hand
 
 
 def folder_table(entries: DataFrame, metadata: DataFrame | None = None, inside: Column | None = None) -> DataFrame:
@@ -118,6 +120,10 @@ def merge(tree: list[Node], ids: list[str]) -> tuple[list[Node], Node]:
     if len(ids) < 2:
         raise EditError("a merge takes two folders or more")
     tree = copy.deepcopy(tree)
+    if len(set(ids)) < len(ids):
+        raise EditError("a folder to merge is named twice")
+    if any(b.startswith(a + "/") for a in ids for b in ids):
+        raise EditError("a folder can't be merged with one inside it")
     picked = [find(tree, i) for i in ids]
     if None in picked:
         raise EditError("a folder to merge isn't there")
@@ -180,14 +186,20 @@ def flatten(tree: list[Node], ids: list[str]) -> tuple[list[Node], int]:
     return tree, gone
 
 
+def plain_name(name: str) -> str:
+    """A name as folders bear it: separators, colons, spaces and commas become one hyphen, none at either end."""
+    return re.sub(r"-+", "-", re.sub(r"[/\\: ,]", "-", name)).strip(" ._-") or "-"
+
+
 def rename(tree: list[Node], id: str, name: str) -> list[Node]:
-    if not name or "/" in name:
+    name = name.strip()
+    if not name or "/" in name or name in (".", ".."):
         raise EditError("that isn't a folder name")
     tree = copy.deepcopy(tree)
     n = find(tree, id)
     if n is None:
         raise EditError("the folder isn't there")
-    n.name = name
+    n.name, n.given = plain_name(name), True
     return sort_tree(tree)
 
 
@@ -221,15 +233,25 @@ def remap(tree: list[Node], above: str = "") -> dict[str, str]:
     return out
 
 
-def confirm(entries: DataFrame, tree: list[Node], inside: Column | None = None) -> DataFrame:
-    """Entries after review: every reviewable row's folder rewritten, rows that move taking names that others leave free, and
-    the rows of the slice approved."""
-    table = remap(tree)
-    for old, new in table.items():
-        if not old or not new or any(p in ("", ".", "..") for p in new.split("/")):
-            raise EditError(f"{old!r} can't become {new!r}")
-    spark = entries.sparkSession
-    change = spark.createDataFrame(sorted(table.items()), "old string, new string")
+def given_names(tree: list[Node]) -> list[str]:
+    """Names given by hand that aren't days, each once, in order."""
+    out = set()
+    for n in tree:
+        if n.given and not parse_day_range(n.name):
+            out.add(n.name)
+        out.update(given_names(n.children))
+    return sorted(out)
+
+
+def files_under(entries: DataFrame, node: str) -> DataFrame:
+    """file_id, source_path, target_path and status of what can be reviewed below a folder, in order of paths."""
+    rows = entries.filter(F.col("status").isin(PROPOSED, APPROVED) & F.col("target_path").startswith(node.rstrip("/") + "/"))
+    return rows.select("file_id", "source_path", "target_path", "status").orderBy("target_path", "file_id")
+
+
+def moved_entries(entries: DataFrame, change: DataFrame, inside: Column | None = None) -> DataFrame:
+    """Entries with folders rewritten by a table (old, new): rows that move take names that others leave free, and the rows
+    of the slice are approved."""
     open_rows = entries.filter(F.col("status").isin(PROPOSED, APPROVED))
     moved = rewrite_prefix(open_rows, change, path="target_path", out="_new").withColumn("_new", F.coalesce("_new", "target_path"))
     moved = moved.withColumn("_moved", (F.col("_new") != F.col("target_path")).cast("int"))
@@ -237,3 +259,24 @@ def confirm(entries: DataFrame, tree: list[Node], inside: Column | None = None)
     cond = (inside if inside is not None else F.lit(True)) & (F.col("status") == PROPOSED)
     named = named.withColumn("status", F.when(cond, APPROVED).otherwise(F.col("status")))
     return named.select(*entries.columns).unionByName(entries.filter(~F.col("status").isin(PROPOSED, APPROVED)))
+
+
+def confirm(entries: DataFrame, tree: list[Node], inside: Column | None = None) -> DataFrame:
+    """Entries after review: every reviewable row's folder rewritten, and the rows of the slice approved.
+
+    An error where nothing can be reviewed, or the tree has a folder that no reviewable row lies in, or a name that isn't one.
+    """
+    table = remap(tree)
+    for old, new in table.items():
+        if not old or not new or any(p in ("", ".", "..") for p in new.split("/")):
+            raise EditError(f"{old!r} can't become {new!r}")
+    spark = entries.sparkSession
+    open_rows = entries.filter(F.col("status").isin(PROPOSED, APPROVED))
+    if not open_rows.limit(1).count():
+        raise EditError("there is no proposal to confirm")
+    change = spark.createDataFrame(sorted(table.items()), "old string, new string")
+    above = open_rows.select(F.regexp_replace("target_path", r"/?[^/]*\z", "").alias("_dir")).distinct().select(F.explode(prefixes(F.col("_dir"))).alias("old")).distinct()
+    unknown = change.join(above, "old", "left_anti").orderBy("old").limit(1).collect()
+    if unknown:
+        raise EditError(f"{unknown[0]['old']!r} is no folder of the proposal")
+    return moved_entries(entries, change, inside)

@@ -38,6 +38,24 @@ def overlaps(a: str, b: str) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
+def readable(roots: list[str]) -> tuple[list[str], list[str]]:
+    """Roots that can be listed, and those that can't: one that fails doesn't keep the others from being scanned."""
+    good, bad = [], []
+    for r in roots:
+        try:
+            with os.scandir(os.path.expanduser(r)):
+                good.append(r)
+        except OSError:
+            bad.append(r)
+    return good, bad
+
+
+def relative_to_home(path: str, home: str | None = None) -> str:
+    """A path below the home folder with ``~`` in its place."""
+    home = (home or os.path.expanduser("~")).rstrip("/")
+    return "~" if path == home else "~" + path[len(home) :] if home and path.startswith(home + "/") else path
+
+
 def walk(spark: SparkSession, roots: list[str], depth: int = 2) -> DataFrame:
     """Every file below the roots with its size and time of change in nanoseconds; ignored folders are never entered.
 
@@ -190,3 +208,57 @@ def config_stamp(cfg: PlanConfig) -> str:
 def free_bytes(path: str) -> int:
     st = os.statvfs(path)
     return st.f_bavail * st.f_frsize
+
+
+def volume_id(path: str) -> str | None:
+    """What names the volume a path is on: the file system's UUID where the system links it, else its device; null where unknown."""
+    try:
+        device = os.stat(path).st_dev
+    except OSError:
+        return None
+    by_uuid = "/dev/disk/by-uuid"
+    try:
+        for name in sorted(os.listdir(by_uuid)):
+            if os.stat(f"{by_uuid}/{name}").st_rdev == device:
+                return name
+    except OSError:
+        pass
+    return f"dev-{os.major(device)}-{os.minor(device)}"
+
+
+def volumes(roots: list[str]) -> dict[str, str | None]:
+    return {r: volume_id(r) for r in roots}
+
+
+def volume_column(file_dir, of: dict[str, str | None]):
+    """The volume of the longest root that a folder lies in.  Roots are settings, few by nature."""
+    out = F.lit(None).cast("string")
+    for root, name in sorted(of.items()):
+        at = root.rstrip("/")
+        out = F.when((file_dir == at) | file_dir.startswith(at + "/"), F.lit(name)).otherwise(out)
+    return out
+
+
+def read_places(spark: SparkSession, path: str, *, sha256: str | None = None, counts: dict[str, int] | None = None) -> DataFrame:
+    """The places table of a Parquet or CSV file or folder, checked before use.
+
+    ``sha256`` is that of the files' bytes in order of their names (read in parallel, one digest a file, and these digested again
+    where there are several); ``counts`` has the rows expected of the whole ("rows") and of countries by code.  Anything else raises ``ValueError``.
+    """
+    from ..schema import PLACES
+
+    if sha256:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        each = raw.select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()  # one row a file
+        found = each[0]["h"] if len(each) == 1 else hashlib.sha256("".join(r["h"] for r in each).encode()).hexdigest()
+        if found != sha256.lower():
+            raise ValueError(f"{path}: its checksum is {found}")
+    csv = path.rstrip("/").endswith((".csv", ".csv.gz"))
+    df = (spark.read.option("header", True).schema(PLACES).csv(path) if csv else spark.read.parquet(path)).select(*(F.col(f.name).cast(f.dataType) for f in PLACES.fields))
+    if counts:
+        per = {r["country_code"] or "": r["count"] for r in df.groupBy("country_code").count().collect()}  # one row a country
+        per["rows"] = sum(per.values())
+        wrong = {k: (per.get(k, 0), n) for k, n in counts.items() if per.get(k, 0) != n}
+        if wrong:
+            raise ValueError(f"{path}: rows found and expected: {wrong}")
+    return df

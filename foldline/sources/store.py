@@ -1,12 +1,16 @@
 """The catalogue's state as versioned Parquet snapshots, and the changes made to it.
 
-A phase reads the current version of its tables and commits new ones; the manifest that names current versions is replaced
-in one rename, so readers see all of a commit or nothing, and no path is overwritten while it is read.
+A phase reads the current version of its tables and commits new ones under new paths.  Each commit writes a manifest of the
+next number, moved to its name in one rename; readers take the highest, so they see all of a commit or nothing, whatever
+breaks off in between, and no path is overwritten while it is read.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,54 +20,98 @@ from ..schema import ANALYZED, ANALYZING, APPROVED, DISCOVERED, ENTRIES, FAILED,
 
 TABLES = {"file_registry": FILE_REGISTRY, "file_metadata": FILE_METADATA, "entries": ENTRIES, "user_labels": USER_LABELS}
 VERSION = 3
+_MANIFEST = re.compile(r"manifest-(\d{12})\.json")
+
+
+class Conflict(RuntimeError):
+    """Another commit came first."""
 
 
 class Store:
-    """Tables under one URI of any Hadoop file system."""
+    """Tables under one URI of any Hadoop file system.  A store of an older schema is brought to the current one when opened."""
 
     def __init__(self, spark: SparkSession, uri: str):
         self.spark, self.uri = spark, uri.rstrip("/")
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.uri).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if (found := self._manifest().get("schema", VERSION)) > VERSION:
+        found = self.manifest()["schema"]
+        if found > VERSION:
             raise ValueError(f"the store's schema {found} is newer than this library's {VERSION}")
+        for step in range(found, VERSION):
+            self._commit(MIGRATIONS[step](self), step + 1)
 
-    def _manifest(self) -> dict:
-        at = self._path(f"{self.uri}/manifest.json")
+    def _number(self) -> int:
+        """Of the newest manifest, 0 where there is none."""
+        at = self._path(self.uri)
         if not self._fs.exists(at):
-            return {"schema": VERSION, "versions": {}}
-        stream = self._fs.open(at)
+            return 0
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)]
+        return max((int(m[1]) for n in names if (m := _MANIFEST.fullmatch(n))), default=0)
+
+    def _file(self, n: int) -> str:
+        return f"{self.uri}/manifest-{n:012d}.json"
+
+    def manifest(self) -> dict:
+        n = self._number()
+        if not n:
+            return {"schema": VERSION, "tables": {}, "stamp": None}
+        stream = self._fs.open(self._path(self._file(n)))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def read(self, table: str) -> DataFrame:
-        version = self._manifest()["versions"].get(table)
-        if version is None:
+        path = self.manifest()["tables"].get(table)
+        if path is None:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.uri}/{table}/v={version}")
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.uri}/{path}")
+
+    @property
+    def stamp(self) -> str | None:
+        """The fingerprint of the settings that the proposal was made with."""
+        return self.manifest().get("stamp")
+
+    def commit(self, stamp: str | None = None, **tables: DataFrame) -> dict[str, int]:
+        """Write new versions of the tables, then name them in the next manifest; the row counts are returned.
+
+        Raises ``Conflict`` where another commit was made meanwhile; what was written then is in no manifest.
+        """
+        return self._commit(tables, VERSION, stamp)
 
-    def commit(self, **tables: DataFrame) -> dict[str, int]:
-        """Write new versions of the tables, then name them in the manifest; the row counts are returned."""
-        old = self._manifest()
-        versions, counts = dict(old["versions"]), {}
+    def _commit(self, tables: dict[str, DataFrame], schema: int, stamp: str | None = None) -> dict[str, int]:
+        number, old = self._number(), self.manifest()
+        paths, counts = dict(old["tables"]), {}
         for name, df in tables.items():
-            v = versions.get(name, 0) + 1
-            path = f"{self.uri}/{name}/v={v}"
-            self._fs.delete(self._path(path), True)  # what a failed commit may have left
+            path = f"{name}/v={number + 1}-{uuid.uuid4().hex[:12]}"
             shaped = df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields))
-            shaped.write.parquet(path)
-            versions[name] = v
-            counts[name] = self.spark.read.parquet(path).count()
-        fresh, at = self._path(f"{self.uri}/manifest.new"), self._path(f"{self.uri}/manifest.json")
-        out = self._fs.create(fresh, True)
-        out.write(json.dumps({"schema": VERSION, "versions": versions}).encode())
-        out.close()
-        self._fs.delete(at, False)
-        self._fs.rename(fresh, at)
+            shaped.write.parquet(f"{self.uri}/{path}")
+            paths[name] = path
+            counts[name] = self.spark.read.parquet(f"{self.uri}/{path}").count()
+        self._publish(number + 1, {"schema": schema, "tables": paths, "stamp": stamp or old.get("stamp")})
         return counts
 
+    def _publish(self, number: int, manifest: dict) -> None:
+        fresh, at = self._path(f"{self.uri}/new-{uuid.uuid4().hex}.json"), self._path(self._file(number))
+        out = self._fs.create(fresh, False)
+        out.write(json.dumps(manifest).encode())
+        out.close()
+        if self._fs.exists(at) or not self._fs.rename(fresh, at):
+            self._fs.delete(fresh, False)
+            raise Conflict(f"manifest {number} is there already")
+
+    def vacuum(self) -> int:
+        """Delete what the newest manifest doesn't name; how many paths went.  No reader may still hold older versions."""
+        named, gone = {self._file(self._number()), *(f"{self.uri}/{p}" for p in self.manifest()["tables"].values())}, 0
+        top = self._path(self.uri)
+        for x in self._fs.listStatus(top):
+            inner = [y.getPath() for y in self._fs.listStatus(x.getPath())] if x.isDirectory() else [x.getPath()]
+            for p in inner:
+                if not any(str(p).endswith(n.rsplit("://", 1)[-1]) for n in named):
+                    self._fs.delete(p, True)
+                    gone += 1
+        return gone
+
     def reset(self) -> dict[str, int]:
         """Empty all tables; how many rows each had."""
         had = {n: self.read(n).count() for n in TABLES}
@@ -71,10 +119,34 @@ class Store:
         return had
 
 
+def _with_kinds(store: Store) -> dict[str, DataFrame]:
+    """Schema 2 tells what an identity is of: before it, all were of contents."""
+    return {"file_metadata": store.read("file_metadata").withColumn("hash_kind", F.coalesce("hash_kind", F.lit("content")))}
+
+
+def _with_locations(store: Store) -> dict[str, DataFrame]:
+    """Schema 3 keeps the location's folder of an entry: before it, where unknown, the entry's own folder."""
+    return {"entries": store.read("entries").withColumn("location_dir", F.coalesce("location_dir", F.regexp_replace("target_path", r"/?[^/]*\z", "")))}
+
+
+#: What brings a store of that schema to the next; each may run again where it broke off.
+MIGRATIONS: dict[int, Callable[[Store], dict[str, DataFrame]]] = {1: _with_kinds, 2: _with_locations}
+
+
 def live(registry: DataFrame) -> DataFrame:
     return registry.filter("deleted_at IS NULL")
 
 
+def settle_ids(rows: DataFrame, had, id: str = "id") -> DataFrame:
+    """Rows whose new id another row has get one hashed anew (``had``: the condition of rows that keep theirs).
+
+    64-bit hashes of 1e9 paths collide with a chance of 3 %; two collisions of one path don't happen.
+    """
+    twice = rows.groupBy(id).agg(F.count("*").alias("_n")).filter("_n > 1").select(id, F.lit(True).alias("_twice"))
+    again = F.col("_twice").isNotNull() & ~had
+    return rows.join(twice, id, "left").withColumn(id, F.when(again, F.xxhash64("file_dir", "file_name", F.lit("again"))).otherwise(F.col(id))).drop("_twice")
+
+
 def upsert(old: DataFrame, seen: DataFrame, now: str, force: bool = False) -> DataFrame:
     """The registry after a scan: new files and changed ones (by size or time, or left unfinished) are DISCOVERED again,
     files seen again are no longer deleted, a known volume outlives an unknown one, all others stay."""
@@ -84,8 +156,9 @@ def upsert(old: DataFrame, seen: DataFrame, now: str, force: bool = False) -> Da
     hit, had = F.coalesce("_seen", F.lit(False)), F.coalesce("_had", F.lit(False))
     changed = ~F.col("file_size").eqNullSafe(F.col("n_file_size")) | ~F.col("file_modified_at").eqNullSafe(F.col("n_file_modified_at")) | F.col("scan_status").isin(ANALYZING, FAILED) | F.lit(force)
     put = lambda c, x: F.when(hit, x).otherwise(F.col(c)).alias(c)
-    return j.select(
+    got = j.select(
         F.coalesce("id", F.xxhash64(*keys)).alias("id"),
+        had.alias("_old"),
         *keys,
         put("file_size", F.col("n_file_size")),
         put("file_modified_at", F.col("n_file_modified_at")),
@@ -98,6 +171,7 @@ def upsert(old: DataFrame, seen: DataFrame, now: str, force: bool = False) -> Da
         F.when(~had, DISCOVERED).when(hit & changed, DISCOVERED).otherwise(F.col("scan_status")).alias("scan_status"),
         F.coalesce("file_origin", F.lit("SOURCE")).alias("file_origin"),
     )
+    return settle_ids(got, F.col("_old")).drop("_old")
 
 
 def sweep(registry: DataFrame, roots: list[str], now: str) -> DataFrame:
