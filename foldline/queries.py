@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import geo, media, names, paths, text, times
-from .operators import dedup, fuzzy, groups, islands, naming, nearest, sessions, tree
+from .operators import dedup, fuzzy, groups, islands, naming, nearest, sessions, summary, tree
+from .plans import catalogue, places, review
 from .schema import APPROVED, PROPOSED
+from .sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,14 +80,18 @@ def _files(s, d):
 )
 def elect_master(s, d):
     f = _files(s, d).withColumn("file_hash", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
-    order = [text.file_score(F.col("file_dir"), F.col("file_name")).desc(), text.path_bytes(F.col("file_dir"), F.col("file_name")), F.col("file_dir"), F.col("file_name"), F.col("doc_id")]
-    return dedup.elect_by(f, "file_hash", order).select("doc_id", "file_hash", "is_master")
+    return dedup.elect_masters(f, id="doc_id").select("doc_id", "file_hash", "is_master")
 
 
-@query("SELECT min(doc_id) AS doc_id, sha256(text) AS file_hash FROM documents WHERE lang <> 'de' GROUP BY 2 HAVING count(*) = 1")
+@query(
+    f"WITH f AS ({_FILES}), g AS (SELECT *, regexp_replace(file_name, '\\.[^.]*$', '') AS stem, sha256(text) AS h, file_dir NOT LIKE '%/de' AS live, doc_id % 2 = 0 AS was FROM f), "
+    f"c AS (SELECT *, count(*) FILTER (live) OVER (PARTITION BY h) AS alive, row_number() OVER (PARTITION BY h ORDER BY live DESC, {_SCORE} DESC, octet_length(encode(file_dir)) + octet_length(encode(file_name)), file_dir, file_name, doc_id) AS rn FROM g) "
+    "SELECT doc_id, CASE WHEN alive > 1 THEN live AND rn = 1 WHEN alive = 1 AND live THEN TRUE ELSE was END AS is_master FROM c"
+)
 def lone_survivor(s, d):
-    live = t(s, d, "documents").filter("lang <> 'de'").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_hash"))
-    return live.groupBy("file_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("doc_id", "file_hash")
+    f = _files(s, d).withColumn("file_hash", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+    f = f.withColumn("is_live", ~F.col("file_dir").endswith("/de")).withColumn("is_master", F.col("doc_id") % 2 == 0)
+    return dedup.settle_masters(f, id="doc_id").select("doc_id", "is_master")
 
 
 @query(f"WITH f AS ({_FILES}), g AS (SELECT *, regexp_replace(file_name, '\\.[^.]*$', '') AS stem FROM f) SELECT doc_id, CAST({_SCORE} AS BIGINT) AS score, CAST(octet_length(encode(file_dir)) + octet_length(encode(file_name)) AS BIGINT) AS path_bytes FROM g")
@@ -112,70 +117,166 @@ def _page_path():
     return F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*\z", "")
 
 
-@query(f"SELECT page_id, {_PATH} AS path FROM pages WHERE {_PATH} = 'blog.theres.example.com' OR ({_PATH} >= 'blog.theres.example.com/' AND {_PATH} < 'blog.theres.example.com0')")
+@query(
+    f"WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), h AS (SELECT split_part(path, '/', 1) AS host FROM p GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) "
+    "SELECT page_id, path FROM p, h WHERE path = host OR (path >= host || '/' AND path < host || '0')"
+)
 def subtree_range(s, d):
-    return t(s, d, "pages").select("page_id", _page_path().alias("path")).filter(paths.under(F.col("path"), "blog.theres.example.com/"))
+    p = t(s, d, "pages").select("page_id", _page_path().alias("path"))
+    host = p.groupBy(F.split("path", "/")[0].alias("host")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").first()
+    return p.filter(paths.under(F.col("path"), f"{host['host']}/")) if host else p
 
 
 @query("SELECT coalesce(source, '') AS volume, min(lang) AS first_lang, count(*) AS n FROM documents GROUP BY 1")
 def volume_groups(s, d):
-    return t(s, d, "documents").groupBy(F.coalesce("source", F.lit("")).alias("volume")).agg(F.min("lang").alias("first_lang"), F.count("*").alias("n"))
+    return summary.volume_groups(t(s, d, "documents"), volume="source", first="lang", out="first_lang")
 
 
 @query("SELECT CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS library_bytes, count(*) AS files FROM documents")
 def library_size(s, d):
-    return t(s, d, "documents").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("library_bytes"), F.count("*").alias("files"))
+    return summary.library_size(t(s, d, "documents"), size="n_chars")
 
 
 # -- state -------------------------------------------------------------------------------------------------------------
 
 
+# Orders stand for files: those that aren't of low priority were known, those that aren't urgent are seen by a scan of January.
+_OLD, _NOW = "2023-12-01T00:00:00.000000000Z", "2024-01-01T00:00:00.000000000Z"
+_REGISTRY = f"""WITH old AS (SELECT o_orderkey AS id, 'c' || (o_custkey % 50) AS file_dir, 'f' || o_orderkey AS file_name, o_custkey AS file_size, CASE WHEN o_orderkey % 11 = 0 THEN 'v1' END AS volume_uuid,
+  CASE WHEN o_orderkey % 13 = 0 THEN '{_OLD}' END AS deleted_at, CASE WHEN o_orderstatus = 'P' THEN 'ANALYZING' ELSE 'ANALYZED' END AS st FROM orders WHERE o_orderpriority <> '5-LOW'),
+seen AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 1 ELSE o_custkey END AS file_size FROM orders WHERE o_orderpriority <> '1-URGENT')"""
+
+
+def _registry(s, d):
+    o, k = t(s, d, "orders").filter("o_orderpriority <> '5-LOW'"), F.col("o_orderkey")
+    return o.select(
+        k.alias("id"),
+        F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("file_dir"),
+        F.concat(F.lit("f"), k.cast("string")).alias("file_name"),
+        F.col("o_custkey").alias("file_size"),
+        F.lit("t").alias("file_modified_at"),
+        F.when(k % 11 == 0, "v1").alias("volume_uuid"),
+        F.lit(_OLD).alias("discovered_at"),
+        F.lit(_OLD).alias("last_seen_at"),
+        F.when(k % 13 == 0, _OLD).alias("deleted_at"),
+        F.lit("IMAGE").alias("media_type"),
+        F.lit(".jpg").alias("file_extension"),
+        F.when(F.col("o_orderstatus") == "P", "ANALYZING").otherwise("ANALYZED").alias("scan_status"),
+        F.lit("SOURCE").alias("file_origin"),
+    )
+
+
+def _seen(s, d):
+    o, k = t(s, d, "orders").filter("o_orderpriority <> '1-URGENT'"), F.col("o_orderkey")
+    return o.select(
+        F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("file_dir"),
+        F.concat(F.lit("f"), k.cast("string")).alias("file_name"),
+        F.when(k % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("file_size"),
+        F.lit("t").alias("file_modified_at"),
+        F.lit(None).cast("string").alias("volume_uuid"),
+        F.lit("IMAGE").alias("media_type"),
+        F.lit(".jpg").alias("file_extension"),
+    )
+
+
+def _key(out="k"):
+    return F.substring("file_name", 2, 30).cast("long").alias(out)
+
+
 @query(
-    "WITH o AS (SELECT o_orderkey AS k, o_custkey AS size, o_orderstatus AS st FROM orders WHERE o_orderpriority <> '5-LOW'), n AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 1 ELSE o_custkey END AS size FROM orders WHERE o_orderpriority <> '1-URGENT') "
-    "SELECT coalesce(n.k, o.k) AS k, coalesce(n.size, o.size) AS size, CASE WHEN o.k IS NULL THEN 'DISCOVERED' WHEN n.k IS NULL THEN 'GONE' WHEN n.size <> o.size OR o.st = 'P' THEN 'DISCOVERED' ELSE 'ANALYZED' END AS scan_status FROM o FULL JOIN n ON o.k = n.k"
+    _REGISTRY + " SELECT coalesce(seen.id, old.id) AS k, coalesce(seen.file_size, old.file_size) AS file_size, volume_uuid, CASE WHEN seen.id IS NULL THEN deleted_at END AS deleted_at, "
+    "CASE WHEN old.id IS NULL THEN 'DISCOVERED' WHEN seen.id IS NULL THEN st WHEN seen.file_size <> old.file_size OR st = 'ANALYZING' THEN 'DISCOVERED' ELSE st END AS scan_status, old.id IS NOT NULL AS kept_id FROM old FULL JOIN seen ON old.id = seen.id"
 )
 def upsert_status(s, d):
-    o = t(s, d, "orders")
-    old = o.filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("size0"), F.col("o_orderstatus").alias("st"))
-    new = o.filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("size1"))
-    j = old.join(new, "k", "full_outer")
-    status = F.when(F.col("st").isNull(), "DISCOVERED").when(F.col("size1").isNull(), "GONE").when((F.col("size1") != F.col("size0")) | (F.col("st") == "P"), "DISCOVERED").otherwise("ANALYZED")
-    return j.select("k", F.coalesce("size1", "size0").alias("size"), status.alias("scan_status"))
+    return store.upsert(_registry(s, d), _seen(s, d), _NOW).select(_key(), "file_size", "volume_uuid", "deleted_at", "scan_status", F.col("id").eqNullSafe(_key("x")).alias("kept_id"))
+
 
+@query(_REGISTRY + f" SELECT old.id AS k, CASE WHEN deleted_at IS NULL AND seen.id IS NULL AND (file_dir = 'c1' OR starts_with(file_dir, 'c2')) THEN '{_NOW}' WHEN seen.id IS NULL THEN deleted_at END AS deleted_at FROM old LEFT JOIN seen ON old.id = seen.id WHERE file_dir = 'c1' OR file_dir = 'c2' OR NOT starts_with(file_dir, 'c2')")
+def sweep_gone(s, d):
+    after = store.sweep(store.upsert(_registry(s, d), _seen(s, d), _NOW), ["c1", "c2"], _NOW)
+    known = after.filter(F.col("discovered_at") == _OLD)
+    return known.filter((F.col("file_dir") == "c2") | ~F.col("file_dir").startswith("c2")).select(_key(), "deleted_at")
 
-@query("SELECT 'kept' AS what, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01') UNION ALL SELECT 'purged', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')")
+
+@query(
+    f"WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN '{_OLD}' END AS deleted_at FROM orders), dead AS (SELECT id FROM r WHERE deleted_at IS NOT NULL) "
+    "SELECT 'registry' AS what, count(*) AS n FROM r WHERE deleted_at IS NULL UNION ALL SELECT 'metadata', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM dead) "
+    "UNION ALL SELECT 'entries', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey NOT IN (SELECT id FROM dead)"
+)
 def purge_cascade(s, d):
-    old = t(s, d, "orders").filter(F.col("o_orderdate") < "1996-01-01").select(F.col("o_orderkey").alias("l_orderkey"))
-    items = t(s, d, "lineitem").select("l_orderkey")
-    part = lambda how, what: items.join(old, "l_orderkey", how).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return part("left_anti", "kept").unionByName(part("left_semi", "purged"))
+    registry = t(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderdate") < "1996-01-01", _OLD).alias("deleted_at"))
+    items = t(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), "l_returnflag")
+    kept = store.purge(registry, items, items.filter("l_returnflag = 'R'"), _NOW)
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(kept[0], "registry").unionByName(count(kept[1], "metadata")).unionByName(count(kept[2], "entries"))
+
+
+@query(
+    _REGISTRY + ", alive AS (SELECT * FROM old WHERE deleted_at IS NULL), shared AS (SELECT file_size FROM alive GROUP BY 1 HAVING count(*) > 1) "
+    "SELECT id, CASE WHEN deleted_at IS NULL AND id % 3 = 0 AND file_size IN (SELECT file_size FROM shared) THEN 'DISCOVERED' ELSE st END AS scan_status FROM old"
+)
+def requeue_sizes(s, d):
+    r = _registry(s, d)
+    meta = r.select(F.col("id").alias("file_id"), F.when(F.col("id") % 3 == 0, "size").otherwise("content").alias("hash_kind"))
+    return store.requeue_shared_sizes(r, meta).select("id", "scan_status")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'ERROR' WHEN o_orderkey % 7 < 4 THEN 'ANALYZED' ELSE CASE WHEN o_orderstatus = 'P' THEN 'ANALYZING' ELSE 'ANALYZED' END END AS scan_status FROM orders WHERE o_orderpriority <> '5-LOW'")
+def mark_read(s, d):
+    r = _registry(s, d)
+    ids = r.select(F.col("id").alias("file_id"))
+    return store.mark_read(r, ids.filter("file_id % 7 BETWEEN 1 AND 3"), ids.filter("file_id % 7 = 0")).select("id", "scan_status")
 
 
-@query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal > 0")
+@query("SELECT l_orderkey AS file_id, 'old' AS file_hash, count(*) AS n FROM lineitem WHERE l_orderkey % 5 > 1 GROUP BY 1 UNION ALL SELECT o_orderkey, 'new', 1 FROM orders WHERE o_orderkey % 5 = 0")
+def replace_metadata(s, d):
+    old = t(s, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.lit("old").alias("file_hash"))
+    fresh = t(s, d, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("file_id"), F.lit("new").alias("file_hash"))
+    failed = t(s, d, "orders").filter("o_orderkey % 5 = 1").select(F.col("o_orderkey").alias("file_id"))
+    return store.replace_metadata(old, fresh, failed).groupBy("file_id", "file_hash").agg(F.count("*").alias("n"))
+
+
+@query(_REGISTRY + " SELECT id AS file_id, file_dir, file_name, c_name AS exif_make FROM old JOIN customer ON c_custkey = file_size WHERE deleted_at IS NULL AND c_acctbal > 0")
 def load_masters(s, d):
-    live = t(s, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey")
-    who = t(s, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name", "c_mktsegment")
-    return live.join(who, live.o_custkey == who.c_custkey).select("o_orderkey", "c_name", "c_mktsegment")
+    r = _registry(s, d)
+    who = t(s, d, "customer").select(F.col("c_custkey").alias("file_size"), F.col("c_name").alias("exif_make"), (F.col("c_acctbal") > 0).alias("is_master"), F.lit("x").alias("created_at"))
+    meta = r.select(F.col("id").alias("file_id"), "file_size").join(who, "file_size").drop("file_size")
+    return catalogue.masters(r, meta).select("file_id", "file_dir", "file_name", "exif_make")
+
+
+_ENTRY = """WITH e AS (SELECT o_orderkey AS file_id, o_custkey % 20 || '/' || strftime(o_orderdate, '%Y/%m') || '/' || o_orderkey || '.jpg' AS target_path,
+  CASE o_orderstatus WHEN 'F' THEN 'APPROVED' WHEN 'O' THEN 'PROPOSED' ELSE 'DONE' END AS status, o_orderdate AS taken_at, o_custkey AS who FROM orders)"""
 
 
-@query("SELECT o_orderkey, count(l_linenumber) AS items, CAST(coalesce(max(l_linenumber), 0) AS BIGINT) AS last_item FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R' GROUP BY 1")
+def _entries(s, d):
+    o, k = t(s, d, "orders"), F.col("o_orderkey").cast("string")
+    target = F.concat((F.col("o_custkey") % 20).cast("string"), F.lit("/"), F.date_format("o_orderdate", "yyyy/MM"), F.lit("/"), k, F.lit(".jpg"))
+    status = F.when(F.col("o_orderstatus") == "F", APPROVED).when(F.col("o_orderstatus") == "O", PROPOSED).otherwise("DONE")
+    return o.select(F.col("o_orderkey").alias("file_id"), F.concat(F.lit("/s/"), k).alias("source_path"), target.alias("target_path"), status.alias("status"), F.col("o_orderdate").alias("taken_at"), "o_custkey")
+
+
+@query(
+    _ENTRY + ", m AS (SELECT file_id, dir, lat FROM (SELECT file_id, regexp_replace(target_path, '/[^/]*$', '') AS dir, who FROM e WHERE status <> 'DONE') LEFT JOIN (SELECT c_custkey, c_acctbal AS lat FROM customer WHERE c_acctbal > 0) ON who = c_custkey), "
+    "x AS (SELECT file_id, lat, array_to_string(p[1:i], '/') AS node_id FROM (SELECT file_id, lat, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT file_id, lat, string_split(dir, '/') AS p FROM m))) "
+    "SELECT node_id, count(*) AS file_count, arg_min(lat, file_id) FILTER (lat IS NOT NULL) AS lat FROM x GROUP BY 1"
+)
 def tree_left_join(s, d):
-    back = t(s, d, "lineitem").filter("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count("l_linenumber").alias("n"), F.max("l_linenumber").alias("m"))
-    o = t(s, d, "orders").select("o_orderkey")
-    return o.join(back, o.o_orderkey == back.l_orderkey, "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("items"), F.coalesce("m", F.lit(0)).cast("long").alias("last_item"))
+    e = _entries(s, d)
+    where = t(s, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("exif_gps_latitude"), F.lit(1.0).alias("exif_gps_longitude"))
+    meta = e.select("file_id", "o_custkey").join(where, "o_custkey").drop("o_custkey")
+    return review.folder_table(e.drop("o_custkey"), meta).select("node_id", "file_count", "lat")
 
 
 @query(
-    "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'APPROVED' ELSE 'PROPOSED' END AS status, o_custkey FROM orders), live AS (SELECT c_custkey FROM customer WHERE c_acctbal >= 0), "
-    "kept AS (SELECT o_orderkey, status, 'kept' AS origin FROM o WHERE status <> 'PROPOSED' AND o_custkey IN (SELECT c_custkey FROM live)) "
-    "SELECT * FROM kept UNION ALL SELECT o_orderkey, 'PROPOSED', 'new' FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM kept)"
+    _ENTRY + ", live AS (SELECT file_id FROM e WHERE who IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)), kept AS (SELECT file_id, status, target_path FROM e WHERE status <> 'PROPOSED' AND file_id IN (SELECT file_id FROM live)) "
+    "SELECT * FROM kept UNION ALL SELECT file_id, 'PROPOSED', 'new/' || file_id FROM e WHERE file_id % 2 = 0 AND file_id NOT IN (SELECT file_id FROM kept)"
 )
 def keep_decided(s, d):
-    o = t(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", APPROVED).otherwise(PROPOSED).alias("status"), "o_custkey")
-    live = t(s, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
-    kept = o.filter(F.col("status") != PROPOSED).join(live, "o_custkey", "left_semi").select("o_orderkey", "status", F.lit("kept").alias("origin"))
-    new = o.join(kept.select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey", F.lit(PROPOSED).alias("status"), F.lit("new").alias("origin"))
-    return kept.unionByName(new)
+    e = _entries(s, d)
+    good = t(s, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
+    masters = e.join(good, "o_custkey", "left_semi").select("file_id")
+    proposal = e.filter("file_id % 2 = 0").withColumn("status", F.lit(PROPOSED)).withColumn("target_path", F.concat(F.lit("new/"), F.col("file_id").cast("string")))
+    return store.replace_proposals(e, proposal, masters).select("file_id", "status", "target_path")
 
 
 # -- scalar functions --------------------------------------------------------------------------------------------------
@@ -205,10 +306,12 @@ def sanitize(s, d):
     return t(s, d, "part").select("p_partkey", text.sanitize(F.concat(F.col("p_name"), F.lit(", "), F.col("p_type"), F.lit("/"), F.col("p_brand"))).alias("segment"))
 
 
-@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || '_iPhone-' || upper(p_brand[1]) || lower(p_brand[2:]) AS title FROM part WHERE p_brand NOT LIKE '% %' AND p_brand NOT LIKE '%-%' AND p_brand NOT LIKE '%\\_%' ESCAPE '\\' AND p_type NOT LIKE '%-%' AND p_type NOT LIKE '%\\_%' ESCAPE '\\'")
+@query(
+    "SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_type) || '_IPHONE-' || upper(p_brand), '[^ _-]*[ _-]|[^ _-]+$'), "
+    "lambda w: CASE WHEN lower(regexp_replace(w, '[ _-]$', '')) = 'iphone' THEN 'iPhone' || regexp_extract(w, '[ _-]$') ELSE upper(w[1]) || lower(w[2:]) END), '') AS title FROM part"
+)
 def title_case(s, d):
-    p = t(s, d, "part").filter(~F.col("p_brand").rlike("[ _-]") & ~F.col("p_type").rlike("[_-]"))
-    return p.select("p_partkey", text.case_name(F.concat(F.lower("p_type"), F.lit("_IPHONE-"), F.upper("p_brand"))).alias("title"))
+    return t(s, d, "part").select("p_partkey", text.case_name(F.concat(F.lower("p_type"), F.lit("_IPHONE-"), F.upper("p_brand"))).alias("title"))
 
 
 @query("SELECT p_partkey, CASE WHEN m = '' THEN b WHEN b = '' OR contains(lower(m), lower(b)) THEN m ELSE b || ' ' || m END AS device FROM (SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS b, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 3 = 0 THEN upper(p_brand) || ' ' || p_name ELSE p_name END AS m FROM part)")
@@ -238,10 +341,12 @@ def dms_parse(s, d):
     return t(s, d, "embeddings").select("vec_id", F.round(geo.parse_dms(F.when(i % 10 == 0, "nowhere").otherwise(shown)), 6).alias("degrees"))
 
 
-@query("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR))) AS fingerprint, count(*) AS members FROM documents GROUP BY source")
+@query(
+    "WITH h AS (SELECT source, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents) "
+    "SELECT source, sha256(count(*) || ':' || CAST(sum(h) AS VARCHAR) || ':' || bit_xor(h)) AS fingerprint, count(*) AS members FROM h GROUP BY source"
+)
 def set_fingerprint(s, d):
-    g = t(s, d, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("m"))
-    return g.select("source", F.sha2(F.array_join("m", ",").cast("binary"), 256).alias("fingerprint"), F.size("m").cast("long").alias("members"))
+    return summary.set_fingerprint(t(s, d, "documents"), keys=["source"], member="doc_id")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS at FROM events")
@@ -369,9 +474,7 @@ def _place_rows(s, d):
 
 
 def _counted(s, d):
-    from .plans.places import name_counts
-
-    return name_counts(_place_rows(s, d), code="country")
+    return places.name_counts(_place_rows(s, d), code="country")
 
 
 @query(_COUNTED + " SELECT a.k AS city_key, country AS code, here AS in_country, total, countries FROM a JOIN b ON a.k = b.k")
@@ -389,12 +492,15 @@ def disambiguate(s, d):
     return j.select("rowid", names.disambiguate(c("city"), c("state"), c("country"), c("total"), c("countries"), c("in_country"), F.lit(False)).alias("display_name"), names.full_name(c("city"), c("state"), c("country")).alias("full_name"))
 
 
-@query("SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part WHERE starts_with(lower(p_name), (SELECT lower(substr(min(p_name), 1, 3)) FROM part))) WHERE r = 1 ORDER BY p_name LIMIT 8")
+@query(
+    _COUNTED + ", s AS (SELECT rowid, city, concat_ws(', ', city, CASE WHEN state <> '' AND state <> city THEN state END, CASE WHEN p.country <> '' AND p.country <> (CASE WHEN state <> '' THEN state ELSE city END) THEN p.country END) AS full_name FROM p "
+    "WHERE starts_with(lower(city), (SELECT lower(substr(min(p_name), 1, 3)) FROM part))), r AS (SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY city, rowid) AS r FROM s) SELECT rowid, city, full_name FROM r WHERE r = 1 ORDER BY city, rowid LIMIT 8"
+)
 def prefix_search(s, d):
-    p = t(s, d, "part").select("p_partkey", "p_name")
-    low = p.agg(F.min("p_name")).first()[0][:3].lower()
-    first = p.filter(F.lower("p_name").startswith(low)).groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    return first.orderBy("p_name").limit(8).select("p_partkey", "p_name")
+    p = t(s, d, "part")
+    typed = (p.agg(F.min("p_name")).first()[0] or "")[:3]
+    rows = _place_rows(s, d).withColumn("country_code", F.col("country")).withColumn("latitude", F.lit(0.0)).withColumn("longitude", F.lit(0.0))
+    return places.search(places.enrich(rows), typed).select("rowid", "city", "full_name")
 
 
 @query(
@@ -412,12 +518,10 @@ def fuzzy_search(s, d):
     "WITH a AS (SELECT n_name AS value, 0 AS src, n_nationkey AS pos FROM nation WHERE n_regionkey = 1 UNION ALL SELECT p_brand, 1, min(p_partkey) FROM part GROUP BY p_brand UNION ALL SELECT n_name, 2, n_nationkey FROM nation), b AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY src, pos) AS r FROM a) SELECT value, CAST(src AS BIGINT) AS src, CAST(pos AS BIGINT) AS pos FROM b WHERE r = 1 ORDER BY src, pos LIMIT 8"
 )
 def suggest_union(s, d):
-    from .plans.places import keep_first
-
     n = t(s, d, "nation").select(F.col("n_name").alias("value"), F.col("n_nationkey").cast("long").alias("pos"), "n_regionkey")
     a = n.filter("n_regionkey = 1").select("value", F.lit(0).cast("long").alias("src"), "pos")
     b = t(s, d, "part").groupBy(F.col("p_brand").alias("value")).agg(F.min("p_partkey").alias("pos")).select("value", F.lit(1).cast("long").alias("src"), "pos")
-    return keep_first(a.unionByName(b).unionByName(n.select("value", F.lit(2).cast("long").alias("src"), "pos")), "value", ["src", "pos"], 8)
+    return places.keep_first(a.unionByName(b).unionByName(n.select("value", F.lit(2).cast("long").alias("src"), "pos")), "value", ["src", "pos"], 8)
 
 
 # -- trees -------------------------------------------------------------------------------------------------------------
@@ -455,32 +559,50 @@ def prefix_rewrite(s, d):
     return tree.rewrite_prefix(p, remap, path="path").select("page_id", "new_path")
 
 
-@query(f"SELECT page_id FROM pages WHERE starts_with({_PATH}, 'blog.')")
+@query(_ENTRY + " SELECT file_id, target_path, status FROM e WHERE status <> 'DONE' AND starts_with(target_path, '7/1995/')")
 def files_under(s, d):
-    return t(s, d, "pages").select("page_id", _page_path().alias("path")).filter(F.col("path").startswith("blog.")).select("page_id")
+    return review.files_under(_entries(s, d), "7/1995").select("file_id", "target_path", "status")
 
 
-@query("SELECT DISTINCT p_brand AS label FROM part WHERE p_brand IS NOT NULL ORDER BY 1")
+@query("SELECT DISTINCT p_brand AS label FROM part WHERE p_brand <> '' ORDER BY 1")
 def labels_distinct(s, d):
-    return t(s, d, "part").filter("p_brand IS NOT NULL").select(F.col("p_brand").alias("label")).distinct().orderBy("label")
+    return summary.distinct_values(t(s, d, "part"), column="p_brand", out="label")
 
 
 @query("SELECT min(o_orderdate) AS first_ts, max(o_orderdate) AS last_ts, count(*) AS n FROM orders")
 def date_extent(s, d):
-    return t(s, d, "orders").agg(F.min("o_orderdate").alias("first_ts"), F.max("o_orderdate").alias("last_ts"), F.count("*").alias("n"))
+    return summary.extent(t(s, d, "orders"), ts="o_orderdate")
 
 
 @query("SELECT source, doc_id, running FROM (SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM documents) WHERE running <= 250000")
 def budget_prefix(s, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t(s, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("running")).filter("running <= 250000")
+    docs = t(s, d, "documents").select("source", "doc_id", "n_chars")
+    return summary.within_budget(docs, keys=["source"], order="doc_id", size="n_chars", budget=250_000).select("source", "doc_id", "running")
 
 
 @query(
-    "SELECT status, count(*) AS n FROM (SELECT CASE WHEN o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-07-01' THEN 'APPROVED' ELSE 'PROPOSED' END AS status FROM orders) GROUP BY status"
+    _ENTRY + " SELECT file_id, CASE WHEN taken_at >= TIMESTAMP '1997-01-01' AND taken_at < TIMESTAMP '1997-07-01' AND status = 'PROPOSED' THEN 'APPROVED' WHEN taken_at >= TIMESTAMP '1995-01-01' AND taken_at < TIMESTAMP '1995-07-01' AND status = 'APPROVED' THEN 'PROPOSED' ELSE status END AS status FROM e"
 )
 def approve_segment(s, d):
     import datetime as dt
 
-    inside = tree.in_segment("o_orderdate", dt.datetime(1997, 1, 1), dt.datetime(1997, 7, 1))
-    return t(s, d, "orders").select(F.when(inside, APPROVED).otherwise(PROPOSED).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    half = lambda year: tree.in_segment("taken_at", dt.datetime(year, 1, 1), dt.datetime(year, 7, 1))
+    return store.set_status(store.set_status(_entries(s, d), half(1997), True), half(1995), False).select("file_id", "status")
+
+
+@query(
+    _ENTRY + ", m AS (SELECT file_id, status, target_path, who % 20 AS w, CASE WHEN status = 'DONE' THEN NULL WHEN who % 20 = 3 THEN regexp_replace(target_path, '^3/', '4/') WHEN starts_with(target_path, '5/1996/') THEN 'old' || substr(target_path, 7) END AS new FROM e) "
+    "SELECT file_id, coalesce(new, target_path) AS target_path, CASE WHEN status = 'PROPOSED' AND file_id % 3 = 0 THEN 'APPROVED' ELSE status END AS status FROM m"
+)
+def confirm_moves(s, d):
+    change = s.createDataFrame([("3", "4"), ("5/1996", "old")], "old string, new string")
+    return review.moved_entries(_entries(s, d).drop("o_custkey"), change, F.col("file_id") % 3 == 0).select("file_id", "target_path", "status")
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_brand AS d, p_partkey % 4 = 0 AS moved FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY lower(d) ORDER BY moved, p_partkey) AS r FROM p) "
+    "SELECT p_partkey, d || '/x' || (CASE WHEN r = 1 THEN '' ELSE '_' || r END) || '.jpg' AS target FROM r"
+)
+def reclaim_names(s, d):
+    p = t(s, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/x.jpg")).alias("path"), (F.col("p_partkey") % 4 == 0).cast("int").alias("moved"))
+    return naming.reclaim(p, path="path", moved="moved", order=["p_partkey"], out="target").select("p_partkey", "target")
