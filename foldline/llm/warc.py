@@ -19,9 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_path, ship
+from .common import Scratch, filesystem, new_path, ship
 
 SKIPPABLE = 0x184D2A5D
+SALTS = 64
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -135,14 +136,20 @@ def read_archive(path: str, chunk: int = 1 << 16) -> Iterator[bytes]:
 def classify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to (null for responses).
 
-    Only digests are grouped (with partial aggregation); payloads move once, in the join, which adaptive execution splits
-    where a payload is hot.
+    Only digests are grouped (with partial aggregation).  Payloads move once, to the row of their digest; digests that more than
+    one in a thousand rows have (there can't be over a thousand such, so they are broadcast) are split over many tasks.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.sha1("payload"))
-    last = rows.groupBy("key").agg(F.max("page_id").alias("last"))
+    last = rows.groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    last = Scratch(pages.sparkSession).keep(last, "digests")
+    total = last.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > max(total / 1000, 100)
+    rows = rows.join(F.broadcast(last.filter(hot).select("key", F.lit(True).alias("hot"))), "key", "left")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(0))
+    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(hot, F.lit(SALTS - 1)).otherwise(0).cast("long"))))
     old = F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last"))) & (F.octet_length("payload") >= least)
-    return rows.join(last, "key").select("page_id", "url", "payload", F.when(old, F.col("last")).alias("refers_to"))
+    return rows.join(last, ["key", "salt"]).select("page_id", "url", "payload", F.when(old, F.col("last")).alias("refers_to"))
 
 
 def write(rows: DataFrame, folder: str, *, level: int = 3, date: str = "2024-01-01T00:00:00Z") -> list[tuple[str, int]]:
@@ -190,8 +197,8 @@ def archive(pages: DataFrame, *, least: int = 0, level: int = 3, with_payload: b
     """Write all pages to archives in the shared folder and give what is read back from them.
 
     A null html is an empty payload.  A payload shorter than ``least`` bytes is always a response.  Rows that share the
-    largest page_id of a payload are all responses; a null page_id revisits any that is not null.  An empty table writes
-    no archive.
+    largest page_id of a payload are all responses, of one record id; a null page_id revisits any that is not null.  Very
+    long payloads are written whole, each held once.  An empty table writes no archive.
     """
     spark = pages.sparkSession
     return read(spark, write(classify(pages, least=least, **columns), new_path(spark, "warc"), level=level), with_payload)
