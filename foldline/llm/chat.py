@@ -419,7 +419,8 @@ def format_chats(rows: DataFrame, template: str = TURNS, *, conv_id: str = "conv
 
     Conversations are sorted and formatted as their rows stream by, so a task holds one conversation at a time.  A null
     text or role is empty, turns of equal number go by role and text, a null turn comes first, and rows without a conv_id
-    are one conversation.  A conversation has one row at least; an empty table gives none.
+    are one conversation.  A conversation has one row at least; an empty table gives none.  As one conversation is one row of
+    the result, its turns come together in one task, and that is the most a task holds.
     """
     ship(rows.sparkSession)
     picked = rows.select(

@@ -278,7 +278,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str
 
     Cutting is repeated until nothing occurs any more, since what lay around a span may itself form a window.  Each time, what
     all blocks of the benchmark hit in a text is cut together, so that neither their bounds nor their order count.  A document
-    that loses all its words is left out; untouched rows pass as they are.
+    that loses all its words is left out; untouched rows pass as they are, null and empty texts, repeated rows and null ids too;
+    very long texts are searched whole; an empty table gives no rows, an empty benchmark touches none.
     """
     ship(docs.sparkSession)
     shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks(benchmark, "item_id", "text", window, block_bytes)]

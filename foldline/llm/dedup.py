@@ -446,13 +446,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near duplicates does, all columns as they are.
 
-    Of rows with one doc_id the least stays (by text, then by the hash of all columns that have one); rows without a
+    Of rows with one doc_id the least stays (by text, then by all columns as JSON); rows without a
     doc_id, and texts without words, all stay, as long as no other row has their doc_id.  An empty table gives no rows.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **settings)
     stay = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
     named = docs.join(stay, doc_id, "left_semi").select(*docs.columns)
     twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doc_id))
-    order = [F.col(text).asc_nulls_last(), F.to_json(F.struct(*docs.columns))]
-    one = named.join(twice, doc_id, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(doc_id).orderBy(*order))).filter("_n = 1").drop("_n")
-    return named.join(twice, doc_id, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(docs.filter(F.col(doc_id).isNull()))
+    rank = "_n"
+    while rank in {c.lower() for c in docs.columns}:
+        rank = "_" + rank
+    w = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), F.to_json(F.struct(*docs.columns)))
+    one = named.join(twice, doc_id, "left_semi").withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).select(*docs.columns)
+    return named.join(twice, doc_id, "left_anti").select(*docs.columns).unionByName(one).unionByName(docs.filter(F.col(doc_id).isNull()))

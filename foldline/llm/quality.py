@@ -83,6 +83,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4) -> RuleModel:
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, **sample) -> RuleModel:
+    """Rules from at most 12,000 labelled documents (see ``textstats.labelled`` for nulls, repeats and empty tables).
+
+    Without labels, or of one class, there are no rules, and every score is the smoothed share of good labels.
+    """
     return fit_rules(*labelled(docs, labels, **sample))
 
 
@@ -93,7 +97,7 @@ def score(docs: DataFrame, model: RuleModel, *, threshold: float = 0.3, fold: in
     """doc_id, held_out, score, predicted and the statistics of each row.
 
     A null or empty text has zero statistics and is scored from them; repeated rows each get their row; a null doc_id is
-    not held out; an empty table gives no rows.
+    not held out; very long texts are scored whole; an empty table gives no rows.
     """
 
     def run(_: dict, b: pa.RecordBatch) -> dict:
@@ -126,7 +130,11 @@ def _with_new(docs: DataFrame, extra: list[tuple[str, str]], fn, text: str) -> t
 
 
 def keep_good(docs: DataFrame, model: RuleModel, *, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules score at least ``threshold``, all columns as they are."""
+    """The rows of ``docs`` that the rules score at least ``threshold``, all columns as they are, whatever their names.
+
+    A null or empty text is scored from zero statistics; ids aren't looked at, so null and repeated ones pass like others; very long
+    texts are scored whole; an empty table gives no rows.
+    """
     wide, names = _with_new(docs, [(f, "double") for f in FEATURES], lambda bodies: list(statistics(bodies)[1].T.copy()), text)
     prefix = names[0][: -len(FEATURES[0])]
     return wide.filter(model.column(prefix) >= threshold).select(*docs.columns)
@@ -143,6 +151,7 @@ def base_failed(counts: dict[str, np.ndarray], least_words: int = 10, repeat_per
 
 
 def learn_trees(docs: DataFrame, labels: DataFrame, **sample) -> trees.Trees:
+    """Boosted trees from the same bounded sample.  Without labels, or of one class, they give the smoothed share alone."""
     x, y = labelled(docs, labels, **sample)
     return trees.fit(x, y, trees=40, depth=3, monotone={FEATURES.index(f): -1 for f in FALLING})
 
@@ -150,7 +159,8 @@ def learn_trees(docs: DataFrame, labels: DataFrame, **sample) -> trees.Trees:
 def verdicts(docs: DataFrame, model: trees.Trees, *, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, the base counts, base_failed, probability and kept of each row.
 
-    A null or empty text has no words and fails the base rules; repeated rows each get their row; an empty table gives none.
+    A null or empty text has no words and fails the base rules; repeated rows each get their row; very long texts are counted
+    whole; an empty table gives none.
     """
 
     def run(_: dict, b: pa.RecordBatch) -> dict:
@@ -162,7 +172,10 @@ def verdicts(docs: DataFrame, model: trees.Trees, *, threshold: float = 0.5, doc
 
 
 def keep_passing(docs: DataFrame, model: trees.Trees, *, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass base rules and trees, all columns as they are."""
+    """The rows of ``docs`` that pass base rules and trees, all columns as they are, whatever their names.
+
+    A null or empty text has no words and fails; ids aren't looked at; very long texts are judged whole; an empty table gives no rows.
+    """
 
     def judge(bodies: list[bytes]) -> list[np.ndarray]:
         counts, rows = statistics(bodies)

@@ -107,20 +107,22 @@ def statistics(bodies: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
 def labelled(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: int = 12_000, fold: int = 5, held_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``most`` labelled documents, chosen by a hash of their ids outside the held-out fold.
 
-    The sample is bounded, so its ids may be broadcast and its rows collected; a null label or id is left out.
+    The sample is bounded, so its ids may be broadcast and its rows collected; a null label or id is left out, as is an id with
+    two labels; of several documents of one id, the least text stands.  Without any, both are empty.
     """
     from .common import arrow_map, raw
 
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     ids = ids.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held_out))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    joined = with_docs(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("y", "text", "doc_id")
+    ids = ids.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    joined = with_docs(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(_: dict, b) -> dict:
-        _, rows = statistics(raw(b.column(1)))
-        return {"doc_id": b.column(2), "y": b.column(0), "x": list(rows)}
+        _, rows = statistics(raw(b.column(2)))
+        return {"doc_id": b.column(0), "y": b.column(1), "x": list(rows)}
 
     got = arrow_map(joined, run, "doc_id long, y int, x array<double>").toArrow()
-    order = np.lexsort((got["y"].to_numpy(), got["doc_id"].to_numpy()))[: 2 * most]
+    order = np.argsort(got["doc_id"].to_numpy())
     x = np.array(got["x"].combine_chunks().flatten().to_numpy()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     return x[order], got["y"].to_numpy()[order].astype(np.float64)
