@@ -28,7 +28,7 @@ def full_name(city: Column, state: Column, country: Column) -> Column:
 
 def split_qualified(name: Column) -> Column:
     """struct(city, qualifiers) of a name like "City, State, Country"."""
-    parts = F.transform(F.split(F.trim(name), ","), F.trim)
+    parts = F.transform(F.split(F.trim(name), ","), lambda x: F.trim(x))
     return F.struct(parts[0].alias("city"), F.filter(F.slice(parts, 2, 1 << 20), lambda x: x != "").alias("qualifiers"))
 
 

@@ -606,3 +606,110 @@ def confirm_moves(s, d):
 def reclaim_names(s, d):
     p = t(s, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/x.jpg")).alias("path"), (F.col("p_partkey") % 4 == 0).cast("int").alias("moved"))
     return naming.reclaim(p, path="path", moved="moved", order=["p_partkey"], out="target").select("p_partkey", "target")
+
+
+# -- more expressions ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(strip_accents(text)) AS plain FROM documents")
+def plain_spelling(s, d):
+    return t(s, d, "documents").select("doc_id", F.sha2(text.strip_accents(F.col("text")).cast("binary"), 256).alias("plain"))
+
+
+_SHOTS = "SELECT p_partkey, (CASE p_partkey % 4 WHEN 0 THEN 'IMG_E' WHEN 1 THEN 'IMG_O' WHEN 2 THEN 'IMG_' ELSE 'MG_E' END) || p_size || '.' || p_brand || '.jpg' AS name FROM part"
+
+
+@query(f"WITH n AS ({_SHOTS}) SELECT p_partkey, regexp_replace(regexp_replace(name, '\\.[^.]*$', ''), '^IMG_[EO]', 'IMG_') AS stem FROM n")
+def capture_stem(s, d):
+    i = F.col("p_partkey") % 4
+    head = F.when(i == 0, "IMG_E").when(i == 1, "IMG_O").when(i == 2, "IMG_").otherwise("MG_E")
+    return t(s, d, "part").select("p_partkey", text.capture_stem(F.concat(head, F.col("p_size").cast("string"), F.lit("."), F.col("p_brand"), F.lit(".jpg"))).alias("stem"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE date_trunc('second', ts) END AS wall, CASE WHEN event_id % 6 = 0 THEN 'soon' ELSE strftime(ts, '%Y:%m:%d %H:%M:%S') END AS bare FROM events")
+def wall_time(s, d):
+    e, i = t(s, d, "events").select("event_id", "ts"), F.col("event_id")
+    shown = F.concat(F.date_format("ts", "yyyy:MM:dd HH:mm:ss"), F.when(i % 3 == 1, "+05:30").when(i % 3 == 2, "-07:00").otherwise(""))
+    shown = F.when(i % 6 == 0, "soon").otherwise(shown)
+    return e.select("event_id", times.parse_wall(shown).alias("wall"), times.strip_offset(shown).alias("bare"))
+
+
+@query("SELECT vec_id, CAST(sign(y) * floor(abs(y) + 0.5) AS BIGINT) AS cell FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 200 AS y FROM embeddings)")
+def coordinate_cell(s, d):
+    return t(s, d, "embeddings").select("vec_id", geo.cell_key(F.col("embedding")[0].cast("double") * 2).alias("cell"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, o_orderdate AS t, o_orderdate - INTERVAL 12 DAY AS f FROM orders) SELECT o_orderkey, strftime(f, '%Y/%m_%B') AS folder, "
+    "CASE WHEN date_trunc('month', t) <> date_trunc('month', f) THEN strftime(t, '%b_%d') ELSE strftime(t, '%d') END AS day, date_trunc('month', t) <> date_trunc('month', f) AS crosses FROM o"
+)
+def day_folders(s, d):
+    at = F.col("o_orderdate")
+    folder = at - F.expr("INTERVAL 12 DAYS")
+    return t(s, d, "orders").select("o_orderkey", times.month_folder(folder).alias("folder"), times.day_label(at, folder).alias("day"), times.crosses_month(at, folder).alias("crosses"))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, ' ' || p_name || ' , ' || p_brand || ',,' || p_type || ' ' AS name, lower(p_brand) AS b, lower(p_type) AS y, p_size FROM part), q AS (SELECT *, list_transform(string_split(trim(name), ','), lambda x: trim(x)) AS parts FROM p) "
+    "SELECT p_partkey, parts[1] AS city, array_to_string(list_filter(parts[2:], lambda x: x <> ''), '|') AS qualifiers, (CASE WHEN p_size % 2 = 0 THEN TRUE ELSE b = y END) AS fits FROM q"
+)
+def place_qualifiers(s, d):
+    p = t(s, d, "part")
+    q = names.split_qualified(F.concat(F.lit(" "), "p_name", F.lit(" , "), "p_brand", F.lit(",,"), "p_type", F.lit(" ")))
+    low = F.transform(q["qualifiers"], F.lower)
+    state = F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).otherwise("x")
+    return p.select("p_partkey", q["city"].alias("city"), F.array_join(q["qualifiers"], "|").alias("qualifiers"), names.matches_qualifiers(state, F.lower("p_type"), low).alias("fits"))
+
+
+_DIRS = f"SELECT page_id, (CASE page_id % 5 WHEN 0 THEN 'a/.git/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN 'x.git/' ELSE '' END) || {_PATH} AS path FROM pages"
+
+
+@query(f"WITH p AS ({_DIRS}) SELECT page_id, len(list_intersect(string_split(path, '/'), ['.git', 'node_modules', '.Trash', '.svn'])) > 0 AS passed_over FROM p")
+def ignored_dirs(s, d):
+    i = F.col("page_id") % 5
+    head = F.when(i == 0, "a/.git/").when(i == 1, "node_modules/").when(i == 2, "x.git/").otherwise("")
+    return t(s, d, "pages").select("page_id", media.in_ignored_dir(F.concat(head, _page_path())).alias("passed_over"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 1) AS is_screenshot FROM events")
+def screen_captures(s, d):
+    i = F.col("event_id") % 4
+    doc = F.when(i == 0, '{"UserComment":"Screenshot"}').when(i == 1, '{"SamsungCaptureInfo":"Screen recording","Make":7}').when(i == 2, '{"Description":"a Screenshot"}').otherwise(F.col("props"))
+    return t(s, d, "events").select("event_id", media.is_screen_capture(doc).alias("is_screenshot"))
+
+
+@query(
+    "WITH g AS (SELECT DISTINCT p_partkey, (' ' || lower(p_name) || ' ')[i:i + 2] AS trigram FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part)) SELECT trigram, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM g GROUP BY 1"
+)
+def trigram_index(s, d):
+    g = fuzzy.trigram_index(t(s, d, "part"), id="p_partkey", name="p_name")
+    return g.groupBy("trigram").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
+
+
+_NEAR = """WITH p AS (SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE) * 2, 4) AS lat, round(CAST(embedding[2] AS DOUBLE) * 2, 4) AS lon FROM embeddings),
+k AS (SELECT *, CAST(sign(lat) * floor(abs(lat * 100) + 0.5) AS BIGINT) || ':' || CAST(sign(lon) * floor(abs(lon * 100) + 0.5) AS BIGINT) AS cell FROM p),
+f AS (SELECT cell, arg_min(lat, vec_id) AS lat, arg_min(lon, vec_id) AS lon FROM k GROUP BY cell),
+c AS (SELECT 'C' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS city, lat AS y, lon AS x, label % 2 = 1 AS marks FROM p WHERE vec_id % 3 = 0),
+j AS (SELECT cell, city, marks, (y - lat) * (y - lat) + (x - lon) * (x - lon) AS sq, abs(y - lat) <= 0.09 AND abs(x - lon) <= 0.09 AS near FROM f JOIN c ON y BETWEEN lat - 0.45 AND lat + 0.45 AND x BETWEEN lon - 0.45 AND lon + 0.45),
+w AS (SELECT cell, max(near) AS any_near FROM j GROUP BY cell),
+r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY sq, city) AS r FROM j JOIN w USING (cell) WHERE near OR NOT any_near),
+z AS (SELECT cell, city, row_number() OVER (PARTITION BY cell ORDER BY marks, sq, r) AS n FROM r WHERE r <= 32 AND sq <= 0.2025)"""
+
+
+@query(_NEAR + " SELECT vec_id, city AS place FROM k JOIN z USING (cell) WHERE n = 1")
+def place_lookup(s, d):
+    p, c = _points(s, d)
+    city = F.concat(F.lit("C"), F.lpad(F.col("place_id").cast("string"), 9, "0"))
+    none = F.lit("")
+    rich = c.filter("place_id % 3 = 0").select(city.alias("city"), none.alias("state"), none.alias("country"), "latitude", "longitude", F.col("marks").alias("has_marks"), city.alias("display_name"), city.alias("full_name"), city.alias("folder_name"))
+    return places.lookup(p, rich, key="vec_id", lat="lat", lon="lon", order=["vec_id"])
+
+
+@query(
+    f"WITH p AS ({_PLACES}), q AS (SELECT min(city) AS typed FROM p) SELECT typed, CAST(rowid AS DOUBLE) AS latitude, -CAST(rowid AS DOUBLE) AS longitude FROM p, q WHERE lower(city) = lower(typed) ORDER BY rowid LIMIT 1"
+)
+def resolve_name(s, d):
+    rows = _place_rows(s, d).withColumn("country_code", F.col("country")).withColumn("latitude", F.col("rowid").cast("double")).withColumn("longitude", -F.col("rowid").cast("double"))
+    typed = rows.agg(F.min("city")).first()[0]
+    found = places.resolve(places.enrich(rows), typed.upper()) if typed else None
+    return s.createDataFrame([(typed, *found)] if found else [], "typed string, latitude double, longitude double")
