@@ -72,3 +72,55 @@ def test_estimate_is_corrected():
             y = np.concatenate((x[:n], rng.integers(0, 1 << 63, 2000 - n, dtype=np.uint64)))
             found.append(dedup.estimate(dedup.matches(dedup.pack_low(dedup.minima(x)), dedup.pack_low(dedup.minima(y)))))
         assert abs(np.mean(found) - share) < 0.03
+
+
+def crowd(n=150):
+    """Documents that share most of a long passage, many of them nearly at the threshold from each other, and a few copies."""
+    rng = np.random.default_rng(7)
+    base = [f"p{i}" for i in range(100)]
+    out = []
+    for k in range(n):
+        w = list(base)
+        for p in rng.choice(100, 3 + k % 4, replace=False):
+            w[p] = f"own{k if k % 10 else k // 20}_{p}"
+        out.append((9000 + k, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("small", [4])
+def test_crowded_buckets_lose_no_link(spark, small):
+    rows = crowd() + near_family(30)
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=small).collect()
+    assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in found) == brute(rows)
+
+
+def test_large_buckets_are_split_over_tasks(spark):
+    members = spark.range(50).selectExpr("1L AS key", "cast(cast(id AS string) AS binary) AS node", "50L AS size")
+    ones = spark.createDataFrame([(1, 50, "p"), (2, 50, "q")], "key long, size long, what string")
+    met = dedup.Linker.spread(members, ones, each=4)
+    assert met.count() == 50 and {r["what"] for r in met.collect()} == {"p"}
+
+
+def test_samples_find_what_agrees(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    y = np.concatenate((x[:370], rng.integers(0, 1 << 63, 30, dtype=np.uint64)))  # 0.86 alike
+    sigs = [dedup.pack_low(dedup.minima(v)).tolist() for v in (x, y, rng.integers(0, 1 << 63, 400, dtype=np.uint64))]
+    df = spark.createDataFrame([(bytes([k]), s) for k, s in enumerate(sigs)], "node binary, sig array<long>")
+    keys = {k: {r["key"] for r in dedup.sampled_keys(df).collect() if bytes(r["node"]) == bytes([k])} for k in range(3)}
+    assert all(len(v) == dedup.SUBSETS for v in keys.values()) and keys[0] & keys[1] and not keys[0] & keys[2]
+
+
+def test_a_pair_without_its_text_is_not_confirmed(spark):
+    pairs = spark.createDataFrame([(b"a", b"b", 1), (b"a", b"c", 1)], "a binary, b binary, g long")
+    import zstandard
+
+    body = zstandard.ZstdCompressor().compress(b"one two three four")
+    bodies = spark.createDataFrame([(b"a", body), (b"b", body)], "node binary, body binary")
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in dedup.confirm(pairs, bodies, 85, 3).collect()] == [(b"a", b"b")]
+
+
+def test_of_rows_with_one_id_the_least_stays(spark):
+    rows = [(1, "b c d e f", 2), (1, "a b c d e", 3), (1, "a b c d e", 1), (2, None, 0), (2, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n long")
+    assert sorted((r["doc_id"], r["text"] or "", r["_n"]) for r in dedup.keep_one(df).collect()) == [(1, "a b c d e", 1), (2, "", 0)]
