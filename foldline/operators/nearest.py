@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import grid, rough_km, squared_degrees
-from ..schema import FAR_DEGREES, FAR_SQUARED, NEAREST_FETCH
+from ..schema import FAR_DEGREES, FAR_SQUARED, NEAR_DEGREES, NEAREST_FETCH
 
 
 def box_pairs(points: DataFrame, places: DataFrame, *, lat: str, lon: str, delta: float = FAR_DEGREES, plat: str = "latitude", plon: str = "longitude") -> DataFrame:
@@ -20,6 +20,18 @@ def box_pairs(points: DataFrame, places: DataFrame, *, lat: str, lon: str, delta
     return celled.join(spread, ["_cy", "_cx"]).filter(inside).drop("_cy", "_cx").withColumn("dist_sq", squared_degrees(F.col(plat), F.col(plon), F.col(lat), F.col(lon)))
 
 
+def near_pairs(points: DataFrame, places: DataFrame, *, key: str, lat: str, lon: str, delta: float = FAR_DEGREES, fine: float = NEAR_DEGREES, fetch: int = NEAREST_FETCH, plat: str = "latitude", plon: str = "longitude") -> DataFrame:
+    """Pairs enough for the nearest ``fetch`` places of each point (of distinct ``key``) within ``delta``, those within ``fine`` all.
+
+    A point with ``fetch`` places within ``fine`` of it needs no others, so in a dense town only fine cells meet; the wide box is
+    searched for the other points alone.
+    """
+    close = box_pairs(points, places, lat=lat, lon=lon, delta=fine, plat=plat, plon=plon)
+    full = close.filter(F.col("dist_sq") <= fine * fine).groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= fetch).select(key)
+    wide = box_pairs(points.join(full, key, "left_anti").select(*points.columns), places, lat=lat, lon=lon, delta=delta, plat=plat, plon=plon)
+    return close.join(full, key, "left_semi").select(*close.columns).unionByName(wide)
+
+
 def candidates(pairs: DataFrame, *, key: str, limit: int, marks: str, ties: list[str], fetch: int = NEAREST_FETCH) -> DataFrame:
     """Of each key the nearest ``fetch`` places, then those within reach, plainly spelled ones first, at most ``limit``."""
     first = Window.partitionBy(key).orderBy("dist_sq", *ties)

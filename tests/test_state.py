@@ -210,3 +210,18 @@ def test_typing_errors_against_all_pairs(spark):
 
     want = {(k, i) for k, n in enumerate(names) for i, m in enumerate(names) if edits(n[1:] or n, m) <= 2 and grams(n[1:] or n) & grams(m)}
     assert got == want
+
+
+def test_a_dense_town_beside_open_country(spark):
+    import random
+
+    from foldline.operators import nearest
+
+    rng = random.Random(3)
+    places = [(i, "x", 10 + rng.gauss(0, 0.03), 20 + rng.gauss(0, 0.03), i % 2 == 0) for i in range(120)] + [(500 + i, "y", 10 + rng.uniform(-1, 1), 20 + rng.uniform(-1, 1), False) for i in range(60)]
+    points = [(i, 10 + rng.gauss(0, 0.3), 20 + rng.gauss(0, 0.3)) for i in range(60)] + [(900, None, 1.0)]
+    c = spark.createDataFrame(places, "place_id long, name string, latitude double, longitude double, marks boolean")
+    p = spark.createDataFrame(points, "k long, lat double, lon double")
+    pick = lambda pairs: {(r["k"], r["place_id"], r["rank"]) for r in nearest.candidates(pairs, key="k", limit=3, marks="marks", ties=["place_id"]).collect()}
+    few, all_ = nearest.near_pairs(p, c, key="k", lat="lat", lon="lon"), nearest.box_pairs(p, c, lat="lat", lon="lon")
+    assert pick(few) == pick(all_) and few.count() < all_.count()
