@@ -78,3 +78,34 @@ def test_monotone_and_flat_arrays():
     assert (np.diff(m.margins(line)) <= 1e-12).all()
     assert ((m.probability(x) > 0.5) == y).mean() > 0.9
     assert (m.left[m.feature < 0] == -1).all() and len(m.paths()) == len(m.feature) - len(m.roots)
+
+
+def test_models_against_walking_each_row():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, len(FEATURES)))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.3, 500) > 0).astype(float)
+    falling = {FEATURES.index(f): -1 for f in quality.FALLING}
+    model = trees.fit(x, y, monotone=falling)
+
+    def walk(row):
+        total = model.base
+        for node in model.roots.tolist():
+            while model.feature[node] >= 0:
+                node = int((model.left if row[model.feature[node]] <= model.threshold[node] else model.right)[node])
+            total += model.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.probability(x), [walk(r) for r in x])
+    for f in falling:  # raising a constrained statistic never raises the probability
+        more = x.copy()
+        more[:, f] += rng.uniform(0, 2, 500)
+        assert (model.probability(more) <= model.probability(x) + 1e-12).all()
+    rules = quality.fit_rules(x, y)
+    slow = []
+    for row in x:
+        total = rules.intercept
+        for rule, weight in zip(rules.rules, rules.weights, strict=True):
+            if all(row[f] <= t if at_most else row[f] > t for f, t, at_most in rule):
+                total += weight
+        slow.append(1 / (1 + np.exp(-total)))
+    assert rules.rules and np.allclose(rules.score(x), slow)
