@@ -46,8 +46,22 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: What this process has made in the shared folder and not deleted.
+_MADE: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the tables, archives and token files that operators' results still read, once these results are no longer needed;
+    how many there were.  Operators delete by themselves what only they read."""
+    paths = sorted(_MADE)
+    delete(spark, *paths)
+    return len(paths)
 
 
 def delete(spark: SparkSession, *paths: str) -> None:
@@ -57,6 +71,7 @@ def delete(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+        _MADE.discard(path)
 
 
 class Scratch:
