@@ -225,3 +225,11 @@ def test_a_dense_town_beside_open_country(spark):
     pick = lambda pairs: {(r["k"], r["place_id"], r["rank"]) for r in nearest.candidates(pairs, key="k", limit=3, marks="marks", ties=["place_id"]).collect()}
     few, all_ = nearest.near_pairs(p, c, key="k", lat="lat", lon="lon"), nearest.box_pairs(p, c, lat="lat", lon="lon")
     assert pick(few) == pick(all_) and few.count() < all_.count()
+
+
+def test_what_was_cut_can_be_deleted(spark):
+    from foldline.sources import shared
+
+    shared.clean_up(spark)
+    kept = shared.cut(spark.range(5), "t")
+    assert kept.count() == 5 and shared.clean_up(spark) == 1 and shared.clean_up(spark) == 0
