@@ -262,3 +262,35 @@ def read_places(spark: SparkSession, path: str, *, sha256: str | None = None, co
         if wrong:
             raise ValueError(f"{path}: rows found and expected: {wrong}")
     return df
+
+
+def tool_documents(df: DataFrame, argv: list[str], *, batch: int = 200, timeout: float = 600.0) -> DataFrame:
+    """``df`` (file_dir, file_name, …) with a ``document`` for each file, as an external metadata tool prints it.
+
+    The tool is started once for ``batch`` files of a partition, their paths following ``argv``, and prints a JSON array of
+    objects that name their file as ``SourceFile``.  A file that it says nothing of, or a start that fails or lasts beyond
+    ``timeout`` seconds, has a null document; no shell is involved.
+    """
+    import subprocess
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType([*df.schema.fields, StructField("document", StringType())])
+
+    def ask(paths: list[str]) -> dict[str, str]:
+        try:
+            out = subprocess.run([*argv, *paths], capture_output=True, timeout=timeout, check=False).stdout
+            found = json.loads(out or b"[]")
+            return {x["SourceFile"]: json.dumps(x) for x in found if isinstance(x, dict) and "SourceFile" in x}
+        except (OSError, ValueError, subprocess.TimeoutExpired):
+            return {}
+
+    def run(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            paths = [f"{d}/{n}" for d, n in zip(pdf["file_dir"], pdf["file_name"], strict=True)]
+            said: dict[str, str] = {}
+            for i in range(0, len(paths), batch):
+                said |= ask(paths[i : i + batch])
+            yield pdf.assign(document=[said.get(p) for p in paths])
+
+    return df.mapInPandas(run, schema)

@@ -233,3 +233,16 @@ def test_what_was_cut_can_be_deleted(spark):
     shared.clean_up(spark)
     kept = shared.cut(spark.range(5), "t")
     assert kept.count() == 5 and shared.clean_up(spark) == 1 and shared.clean_up(spark) == 0
+
+
+def test_a_metadata_tool_is_asked_for_many_files_at_once(spark, tmp_path):
+    import sys
+
+    tool = tmp_path / "tool.py"
+    tool.write_text("import json,sys\nprint(json.dumps([{'SourceFile': p, 'Make': 'Canon', 'n': len(sys.argv) - 1} for p in sys.argv[1:] if 'bad' not in p]))")
+    df = spark.createDataFrame([("/p", f"{n}.jpg") for n in ("a", "b; echo x", "bad")], "file_dir string, file_name string").coalesce(1)
+    got = {r["file_name"]: r["document"] for r in files.tool_documents(df, [sys.executable, str(tool)]).collect()}
+    assert got["bad.jpg"] is None and json.loads(got["b; echo x.jpg"]) == {"SourceFile": "/p/b; echo x.jpg", "Make": "Canon", "n": 3}
+    read = files.read_metadata(files.tool_documents(df, [sys.executable, str(tool)], batch=1)).filter("exif_make = 'Canon'")
+    assert read.count() == 2
+    assert files.tool_documents(df, ["/no/such/tool"]).filter("document IS NOT NULL").count() == 0
