@@ -44,7 +44,7 @@ class TextEncoder:
     the cutting holds for are asked for whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 1_200_000, special: bool = True):
+    def __init__(self, path: str, keep: int = 800_000, special: bool = True):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
