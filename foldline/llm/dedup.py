@@ -9,9 +9,9 @@ joins the same documents does a missed one change the result.
 
 Buckets of up to ``small`` classes are compared in memory.  In larger ones every class meets a pivot; then the classes
 outside the bucket's main component meet all of it where they are few.  Where they are many, the bucket's classes are
-bucketed anew by 96 samples of 12 low-bit groups (a link at 0.85 is in none of them with probability 5e-8), and in what is
-large even then, pivots go on until nothing is outside.  So a hot bucket costs its size times a constant in each round, and
-no pair of a bucket is left out.
+bucketed anew by their rarest shingles, so many of each that two sets of the threshold share one: what much of the bucket
+has in common brings nothing together any more.  In what is large even then, pivots go on until nothing is outside.  No pair
+of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -251,7 +251,10 @@ _PICKS = np.stack([np.random.default_rng(1200 + t).choice(HASHES, SUBSET, replac
 
 
 def sampled_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): of each class (node, sig), a key for each of ``SUBSETS`` samples of its low-bit groups."""
+    """(key, node): of each class (node, sig), a key for each of ``SUBSETS`` samples of its low-bit groups.
+
+    ``Linker`` doesn't use them: where texts share a long passage without being alike, most samples bring most of them together.
+    """
 
     def run(_: dict, b: pa.RecordBatch) -> dict:
         sig = np.array(b.column(1).to_pylist(), np.int64).reshape(-1, SIG_WORDS).view(np.uint64)
@@ -263,6 +266,75 @@ def sampled_keys(nodes: DataFrame) -> DataFrame:
     return arrow_map(nodes.select("node", "sig"), run, "keys array<long>, node binary").select(F.explode("keys").alias("key"), "node")
 
 
+CELLS = 1 << 20
+
+
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many of the rarest of ``n`` shingles a set of at least this size, or of at most this size, has one of if it is alike.
+
+    Sets x and y, y not the larger, that reach the threshold t share t |x| and 2 t / (1 + t) |y| shingles at least.  In any
+    one order, what is left of either set after that many less one is without a shared shingle only if fewer are shared.
+    """
+    return n + (-2 * percent * n) // (100 + percent) + 1, n + (-percent * n) // 100 + 1
+
+
+def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """In how many texts (node, body) the shingles of each of ``CELLS`` cells of hashes occur; bounded whatever the texts."""
+
+    def run(batches):
+        unpress, acc = zstandard.ZstdDecompressor(), np.zeros(CELLS, np.int64)
+        for b in batches:
+            for body in b.column(1).to_pylist():
+                for items in shingle_sets([unpress.decompress(body)], width):
+                    np.add.at(acc, (items & np.uint64(CELLS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(acc)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(acc[at])], names=["cell", "n"])
+
+    ship(texts.sparkSession)
+    got = texts.select("node", "body").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.uint32)
+    out[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), 0xFFFFFFFF)
+    return out
+
+
+def prefix_keys(texts: DataFrame, counts: np.ndarray, percent: int, width: int, most: int = 1 << 18) -> DataFrame:
+    """(key, node, own): the rarest shingles of each text (node, body).
+
+    Of two alike texts, the one of fewer shingles has ``own`` at a key that the other has too.  By any ``counts`` no pair is
+    lost; by good ones few others meet.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches):
+        unpress, known = zstandard.ZstdDecompressor(), shared.value
+        keys, nodes, sizes, owns, held = [], [], [], [], 0
+
+        def table() -> pa.RecordBatch:
+            at = np.repeat(np.arange(len(nodes)), sizes)
+            own = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(owns, sizes)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(at)), pa.array(own)], names=["key", "node", "own"])
+
+        for b in batches:
+            for node, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for items in shingle_sets([unpress.decompress(body)], width):
+                    few, many = prefix_lengths(len(items), percent)
+                    ranked = items[np.lexsort((items, known[(items & np.uint64(CELLS - 1)).astype(np.int64)]))]
+                    keys.append(ranked[:many])
+                    nodes.append(node)
+                    sizes.append(many)
+                    owns.append(few)
+                    held += many
+                if held >= most:
+                    yield table()
+                    keys, nodes, sizes, owns, held = [], [], [], [], 0
+        if nodes:
+            yield table()
+
+    return texts.select("node", "body").mapInArrow(run, "key long, node binary, own boolean")
+
+
 class Linker:
     """The links of classes (node, first, sig), found level by level; ``labels`` has the components so far."""
 
@@ -273,14 +345,24 @@ class Linker:
         self.step = 0
 
     def candidates(self, rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Of buckets (key, node): pairs whose low bits agree enough, and the rows of buckets above ``small`` with size and signature."""
-        shared = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        """Of buckets (key, node): pairs whose low bits agree enough, and the rows of buckets above ``small`` with size and signature.
+
+        Where there is a column ``own``, a link has it on one side; of large buckets with few such rows, these meet all others
+        at once, and the buckets aren't among those given.
+        """
+        split = "own" in rows.columns
+        shared = rows.groupBy("key").agg(F.count("*").alias("size"), *([F.count_if("own").alias("owns")] if split else []))
+        shared = shared.filter("size > 1 AND owns > 0" if split else "size > 1")
         live = self.scratch.keep(rows.join(shared, "key"), f"{name}-live")
         sigs = live.select("node").distinct().join(self.classes.select("node", "sig"), "node")
-        live_sigs = self.scratch.keep(live.join(sigs, "node").select("key", "node", "size", "sig"), f"{name}-buckets")
+        live_sigs = self.scratch.keep(live.join(sigs, "node").select("key", "node", "size", "sig", *(["own", "owns"] if split else [])), f"{name}-buckets")
         self.scratch.drop(f"{name}-live")
         hot = live_sigs.filter(F.col("size") > self.small)
         pairs = small_pairs(live_sigs.filter(F.col("size") <= self.small), self.least)
+        if split:
+            few = hot.filter(F.col("owns") <= self.small)
+            pairs = pairs.unionByName(self.meet(few.drop("own", "owns"), few.filter("own").select("key", "size", F.col("node").alias("pivot"), F.col("sig").alias("pivot_sig"))))
+            hot = hot.filter(F.col("owns") > self.small).drop("own", "owns")
         pivots = hot.groupBy("key").agg(F.min(F.struct("node", "sig")).alias("p"), F.max("size").alias("size"))
         pairs = once(pairs.unionByName(self.meet(hot, pivots.select("key", "size", F.col("p.node").alias("pivot"), F.col("p.sig").alias("pivot_sig")))))
         return self.scratch.keep(pairs, f"{name}-pairs"), hot
@@ -399,8 +481,9 @@ class Linker:
                 self.test(once(self.meet(hot, few.select("key", "size", *asked))))
             many = out.filter(F.col("outside") > self.small).select("key").distinct()
             if many.limit(1).count():
-                nodes = hot.join(F.broadcast(many) if self.scratch.few(many) else many, "key", "left_semi").select("node", "sig").dropDuplicates(["node"])
-                deep = self.level(sampled_keys(self.scratch.keep(nodes, "crowded")), "samples")
+                nodes = hot.join(F.broadcast(many) if self.scratch.few(many) else many, "key", "left_semi").select("node")
+                crowded = self.scratch.keep(self.texts.join(nodes, "node", "left_semi"), "crowded")
+                deep = self.level(prefix_keys(crowded, shingle_counts(crowded, self.width), self.percent, self.width), "prefixes")
                 tried, k = None, 0
                 while deep.limit(1).count():
                     k += 1
