@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,40 +28,52 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     n = len(sizes)
     if k <= 1 or n == 0:
         return np.zeros(n, np.int64)
-    sums: dict[int, np.ndarray] = {}
-    heap = [(-int(v), i) for i, v in enumerate(sizes)]
+    pieces = sizes.tolist()
+    sums: dict[int, list[int]] = {}
+    heap = [(-v, i) for i, v in enumerate(pieces)]
     heapq.heapify(heap)
-    merges: list[tuple[int, int, np.ndarray]] = []
-
-    def places(node: int) -> np.ndarray:
-        if node >= n:
-            return sums.pop(node)
-        one = np.zeros(k, np.int64)
-        one[-1] = sizes[node]
-        return one
-
+    merges: list[tuple[int, int, int | np.ndarray]] = []
     while len(heap) > 1:
         _, a = heapq.heappop(heap)
         _, b = heapq.heappop(heap)
-        joint = places(a) + places(b)[::-1]
-        order = joint.argsort(kind="stable")
-        joint = joint[order]
-        joint -= joint[0]
-        merges.append((a, b, order.astype(np.int32)))
+        if a >= n and b < n:
+            joint, one = sums.pop(a), b
+        elif b >= n and a < n:
+            joint, one, a, b = sums.pop(b), a, b, a
+        elif a < n:
+            joint, one = [0] * (k - 1) + [pieces[a]], b
+        else:
+            joint, one = sums.pop(a), -1
+        if one >= 0:  # a single piece goes to the emptiest place, which moves up
+            v = joint.pop(0) + pieces[one]
+            at = bisect_left(joint, v)
+            joint.insert(at, v)
+            merges.append((a, b, at))
+        else:
+            both = np.array(joint) + np.array(sums.pop(b))[::-1]
+            order = both.argsort(kind="stable")
+            joint = both[order].tolist()
+            merges.append((a, b, order))
         node = n + len(merges) - 1
         sums[node] = joint
-        heapq.heappush(heap, (-int(joint[-1]), node))
-    slot: dict[int, np.ndarray] = {n + len(merges) - 1: np.arange(k)} if merges else {0: np.arange(k)}
+        heapq.heappush(heap, (joint[0] - joint[-1], node))
+    slot: dict[int, list[int]] = {n + len(merges) - 1: list(range(k))}
     window = np.zeros(n, np.int64)
-    for at in range(len(merges) - 1, -1, -1):
-        a, b, order = merges[at]
-        own = slot.pop(n + at)
-        for child, places_of in ((a, order), (b, k - 1 - order)):
-            if child < n:
-                window[child] = own[np.flatnonzero(places_of == k - 1)[0]]
+    for i in range(len(merges) - 1, -1, -1):
+        a, b, order = merges[i]
+        own = slot.pop(n + i)
+        if isinstance(order, int):
+            window[b] = x = own.pop(order)
+            own.insert(0, x)
+            if a < n:
+                window[a] = own[-1]
             else:
-                slot[child] = np.empty(k, np.int64)
-                slot[child][places_of] = own
+                slot[a] = own
+        else:
+            for child, places in ((a, order), (b, k - 1 - order)):
+                of = np.empty(k, np.int64)
+                of[places] = own
+                slot[child] = of.tolist()
     if not merges:
         window[0] = k - 1
     return window

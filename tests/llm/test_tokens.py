@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -97,3 +98,35 @@ def test_differencing_is_near_even():
     w, k = packing.divide(np.array([2048, 2048, 1]), 2048)
     assert k == 3 and np.bincount(w, [2048, 2048, 1]).max() <= 2048
     assert packing.divide(np.array([7]), 10) [1] == 1
+
+
+def slow_differencing(sizes, k):
+    """Sums of the windows, every partition being sorted anew at each merge."""
+    heap = [(-v, i, [0] * (k - 1) + [v]) for i, v in enumerate(sizes)]
+    while len(heap) > 1:
+        heap.sort(key=lambda x: x[:2])
+        (_, _, a), (_, _, b), *heap = heap
+        joint = sorted(x + y for x, y in zip(a, b[::-1], strict=True))
+        sizes = [*sizes, 0]
+        heap.append((joint[0] - joint[-1], len(sizes) - 1, [x - joint[0] for x in joint]))
+    return heap[0][2]
+
+
+def test_differencing_has_the_sums_of_a_slow_one_and_is_cheap():
+    rng = np.random.default_rng(4)
+    for n, k in ((2, 2), (3, 2), (2, 7), (40, 3), (60, 16), (300, 64)):
+        sizes = rng.integers(1, 385, n)
+        sums = np.sort(np.bincount(packing.differencing(sizes, k), weights=sizes, minlength=k)).astype(int)
+        assert (sums - sums[0]).tolist() == slow_differencing(sizes.tolist(), k)
+
+    def least(fn):
+        took = []
+        for _ in range(5):
+            t = time.thread_time()
+            fn()
+            took.append(time.thread_time() - t)
+        return min(took)
+
+    one = rng.integers(0, 2048, 256)
+    sizes = rng.integers(1, 385, 1800)
+    assert least(lambda: packing.differencing(sizes, 256)) < 0.6 * least(lambda: [one.argsort(kind="stable") for _ in range(3600)])
