@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -127,6 +128,25 @@ def arrow_map(df: DataFrame, fn: Callable[[dict, pa.RecordBatch], dict | pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return to the system what this worker's allocators hold free, as a worker waits for its next task with all it ever took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` of ``mapInArrow``, giving back at the end of each task what it held."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def record_batch(cols: dict, schema: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for f in schema:
@@ -147,8 +167,8 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of neighbours of about ``limit`` bytes together, so that few texts are held twice."""
+def spans(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of neighbours of about ``limit`` bytes together; a longer text is its own range."""
     n = len(column)
     if not n:
         return
@@ -157,10 +177,16 @@ def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[b
     while at < n:
         before = int(sizes[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
-        yield at, raw(column.slice(at, to - at))
+        yield at, to
         at = to
 
 
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of neighbours of about ``limit`` bytes together, so that few texts are held twice."""
+    for at, to in spans(column, limit):
+        yield at, raw(column.slice(at, to - at))
+
+
 def with_docs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Just the two columns an operator reads, under fixed names, so that no other column can clash."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

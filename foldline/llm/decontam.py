@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, raw, ship, with_docs
+from .common import ALNUM, raw, ship, tidy, with_docs
 
 FOUND = "n_words long, n_hit long, items array<long>, spans array<struct<start:int,words:int>>"
 
@@ -316,7 +316,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str
                 b = pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

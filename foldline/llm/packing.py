@@ -15,7 +15,7 @@ from bisect import bisect_left
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import ship, with_docs
+from .common import ship, spans, tidy, with_docs
 from .tokens import encoder
 
 PIECES = (
@@ -160,9 +160,9 @@ def pack(
 
         for batch in batches:
             names, bodies = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(bodies), 256):
+            for at, to in spans(bodies):
                 rows = []
-                for name, ids in zip(names[at : at + 256], enc.encode(bodies.slice(at, 256)), strict=True):
+                for name, ids in zip(names[at:to], enc.encode(bodies.slice(at, to - at)), strict=True):
                     ids += tail
                     total, start = len(ids) // 4, 0
                     whole, rest = cut(total, capacity, piece)
@@ -182,4 +182,4 @@ def pack(
             yield table(close(waiting, state))
 
     ship(docs.sparkSession)
-    return with_docs(docs, doc_id, text).mapInArrow(run, PIECES)
+    return with_docs(docs, doc_id, text).mapInArrow(tidy(run), PIECES)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import trees
-from .common import arrow_map, raw, ship, with_docs
+from .common import arrow_map, raw, ship, tidy, with_docs
 from .textstats import COUNTS, FEATURES, labelled, statistics
 
 
@@ -126,7 +126,7 @@ def _with_new(docs: DataFrame, extra: list[tuple[str, str]], fn, text: str) -> t
                 new = fn(raw(b.column(at)))
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in new)], names=[*b.schema.names, *names])
 
-    return docs.mapInArrow(run, schema), names
+    return docs.mapInArrow(tidy(run), schema), names
 
 
 def keep_good(docs: DataFrame, model: RuleModel, *, threshold: float = 0.3, text: str = "text") -> DataFrame:

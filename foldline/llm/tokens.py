@@ -44,16 +44,18 @@ class TextEncoder:
     the cutting holds for are asked for whole texts.
     """
 
-    def __init__(self, path: str, keep: int = 800_000, special: bool = True):
+    def __init__(self, path: str, keep: int = 400_000, special: bool = True):
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
-        self._whole, self._plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._plain = Tokenizer.from_file(path)
         self._plain.encode_special_tokens = True
         added = [t for t in spec["added_tokens"] if not t["special"] or special]
         simple = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["special"] for t in added)
-        self._whole.encode_special_tokens = not special
         self._cuts = simple and _shape(spec) in _SHAPES
+        if not self._cuts:
+            self._whole = Tokenizer.from_file(path)
+            self._whole.encode_special_tokens = not special
         self._added = {t["content"]: struct.pack("<I", t["id"]) for t in added}
         self._divide = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
         self._lead = " " if (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" else ""

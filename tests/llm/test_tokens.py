@@ -1,5 +1,8 @@
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -130,3 +133,44 @@ def test_differencing_has_the_sums_of_a_slow_one_and_is_cheap():
     one = rng.integers(0, 2048, 256)
     sizes = rng.integers(1, 385, 1800)
     assert least(lambda: packing.differencing(sizes, 256)) < 0.6 * least(lambda: [one.argsort(kind="stable") for _ in range(3600)])
+
+
+WORKER = """
+import re, threading, time
+import numpy as np, pyarrow as pa, public_tokenizers as P, pyspark
+from pathlib import Path
+from types import SimpleNamespace as N
+from foldline.llm import packing
+
+held = lambda: sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+pyspark.TaskContext = N(get=lambda: N(partitionId=lambda: 0))
+docs = N(sparkSession=N(sparkContext=N(environment={})), mapInArrow=lambda run, _: run)
+packing.with_docs = lambda *_: docs
+run = packing.pack(docs, P.path("word_bpe_49k.json"))
+
+def batches():
+    rng = np.random.default_rng(3)
+    for _ in range(2):
+        words = [bytes(w).decode() for w in rng.integers(97, 123, (600_000, 9), np.uint8)]
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "text": [" ".join(words[i::150]) for i in range(150)]})
+
+some = list(batches())
+list(run([some[0].slice(0, 1)]))
+began, most, on = held(), [0], [True]
+def watch():
+    while on:
+        most[0] = max(most[0], held())
+        time.sleep(0.01)
+threading.Thread(target=watch, daemon=True).start()
+for b in some:
+    for _ in run([b]):
+        pass
+on.clear()
+print(most[0] - began, held() - began)
+"""
+
+
+def test_a_worker_holds_little_while_it_packs_long_texts_and_less_when_it_waits():
+    got = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    most, idle = map(float, got.stdout.split())
+    assert most < 200 and idle < 130
