@@ -14,14 +14,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, filesystem, new_path, ship, with_docs
-from .tokens import encoder
+from .common import arrow_map, filesystem, new_path, ship, spans, with_docs
+from .tokens import TextEncoder, encoder
 
 MARK = b"FOLDPCK1"
 BLOCK = 1 << 14
+#: Bytes of texts to encode together: the more, the less often a part is looked up, or learned again.
+SLICE = 4 << 20
+#: Parts that a worker remembers here, where little else needs its executor's memory.
+KEEP = 1_200_000
 MANIFEST = "part int, path string, docs long, ids long"
 
 
@@ -144,6 +149,14 @@ class Reader:
             at = to
 
 
+def encoded(enc: TextEncoder, texts: pa.Array, end_id: int, kind: str) -> list[bytes]:
+    """The ids of each text and ``end_id``, as numbers of ``kind``."""
+    end, got = np.array([end_id], "<u4").tobytes(), []
+    for at, to in spans(texts, SLICE):
+        got += [np.frombuffer(b + end, "<u4").astype(kind).tobytes() for b in enc.encode(texts.slice(at, to - at))]
+    return got
+
+
 def write_ids(
     docs: DataFrame, tokenizer: str, folder: str, *, vocabulary: int, end_id: int, parts: int | None = None, doc_id: str = "doc_id", text: str = "text"
 ) -> list[tuple[int, str, int, int]]:
@@ -162,13 +175,7 @@ def write_ids(
     kind = "<u2" if width <= 16 else "<u4"
 
     def encode(_: dict, batch) -> dict:
-        import pyarrow as pa
-
-        end = np.array([end_id], "<u4").tobytes()
-        got = []
-        bodies, enc = batch.column(1), encoder(tokenizer)
-        for at in range(0, len(bodies), 256):
-            got += [np.frombuffer(b + end, "<u4").astype(kind).tobytes() for b in enc.encode(bodies.slice(at, 256))]
+        got = encoded(encoder(tokenizer, KEEP), batch.column(1), end_id, kind)
         names = batch.column(0)
         number = np.asarray(names.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), np.float64)
         return {"part": pa.array(np.searchsorted(bounds, number, "left").astype(np.int32)), "doc_id": names, "ids": pa.array(got, pa.binary())}

@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A part that may be encoded beside others: one leading space at most, and no combining or rare characters beside it.
 _SIMPLE = re.compile(r" ?[!-~\u00a1-\u024f][ -~\u00a1-\u024f\n]*(?<! )\Z").match
-#: Stem and tail of a part: ASCII punctuation but for the apostrophe, after a letter or digit.
-_TAIL = re.compile(r"([^\n]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-&(-/:-@\[-`{-~]{1,8})\Z").match
+#: Tail of a part: ASCII punctuation but for the apostrophe, eight at most, after one of the letters or digits.
+_TAIL = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+_STEM_END = frozenset(c for c in map(chr, [*range(48, 123), *range(0xC0, 0x250)]) if c.isalnum())
 #: Letters of the Latin blocks, but for the one whose lower case isn't a letter alone.
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+\Z").match
 #: Bytes as byte-level vocabularies spell them.
@@ -106,9 +107,9 @@ class TextEncoder:
                 if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
                     lines.append((p, parts))
                     continue
-            m = _TAIL(p)
-            if m:
-                stem, tail = m.groups()
+            stem = p.rstrip(_TAIL)
+            if 0 < len(p) - len(stem) <= 8 and stem[-1:] in _STEM_END and "\n" not in stem:
+                tail = p[len(stem) :]
                 stems.append((p, stem, tail))
                 if stem not in known:
                     whole.add(stem)
@@ -117,7 +118,7 @@ class TextEncoder:
             else:
                 whole.add(p)
         whole.difference_update(words)
-        letters = [p for p in whole if _LETTERS(p)]
+        letters = [p for p in whole if (p.isascii() and p.isalpha()) or _LETTERS(p)]
         whole.difference_update(letters)
         words += letters
         known.update(zip(words, self._letters(words, "\u0120" if lead else ""), strict=True))
@@ -226,12 +227,12 @@ _SHAPES = {
 }
 
 
-_CACHE: dict[str, TextEncoder] = {}
+_CACHE: dict[tuple[str, int], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, keep: int = 400_000) -> TextEncoder:
     """One encoder a Python worker, so that tasks after the first find their words known."""
-    if path not in _CACHE:
+    if (path, keep) not in _CACHE:
         _CACHE.clear()
-        _CACHE[path] = TextEncoder(path)
-    return _CACHE[path]
+        _CACHE[path, keep] = TextEncoder(path, keep)
+    return _CACHE[path, keep]

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import AddedToken, Tokenizer
 
@@ -62,6 +63,22 @@ def reference_ids(name, text, end):
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
 
 
+def test_short_texts_are_encoded_together_for_token_files(texts):
+    class Counted(TextEncoder):
+        calls = 0
+
+        def encode(self, some):
+            self.calls += 1
+            return super().encode(some)
+
+    some = [*ODD, None, *list(texts.values())[:40], *(f"short {i}." for i in range(3000))]
+    enc = Counted(P.path("byte_bpe_50k.json"))
+    got = binary.encoded(enc, pa.array(some, pa.string()), 2, "<u2")
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert [np.frombuffer(b, "<u2").tolist() for b in got] == [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in some]
+    assert enc.calls == 1
+
+
 def test_token_files(spark, edge):
     got = binary.encode_to_files(edge, P.path("byte_bpe_50k.json"), vocabulary=50257, end_id=2, parts=3).orderBy("start").collect()
     rows = sorted(edge.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0))
