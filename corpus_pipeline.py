@@ -52,8 +52,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens, a row a piece, with the ids; a null or empty text is its end token alone."""
-    return packing.pack(docs, _tokenizer())
+    """Sequences of 2048 tokens, a row a piece, with the ids; a null or empty text is its end token alone.
+
+    Workers hold little, as their executors' heaps have grown by now.
+    """
+    return packing.pack(docs, _tokenizer(), keep=400_000, slice_bytes=1 << 20)
 
 
 STAGES = [

@@ -154,7 +154,7 @@ def test_differencing_has_the_sums_of_a_slow_one_and_is_cheap():
 
 WORKER = """
 import re, threading, time
-import numpy as np, pyarrow as pa, public_tokenizers as P, pyspark
+import corpus_pipeline, numpy as np, pyarrow as pa, pyspark
 from pathlib import Path
 from types import SimpleNamespace as N
 from foldline.llm import packing
@@ -163,7 +163,7 @@ held = lambda: sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", Path("/
 pyspark.TaskContext = N(get=lambda: N(partitionId=lambda: 0))
 docs = N(sparkSession=N(sparkContext=N(environment={})), mapInArrow=lambda run, _: run)
 packing.with_docs = lambda *_: docs
-run = packing.pack(docs, P.path("word_bpe_49k.json"))
+run = corpus_pipeline.pack(None, docs, "")
 
 def batches():
     rng = np.random.default_rng(3)
