@@ -13,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -75,15 +75,29 @@ def delete(spark: SparkSession, *paths: str) -> None:
         _MADE.discard(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Scratch:
-    """Tables written in the shared folder: each cuts its lineage and survives the loss of an executor."""
+    """Tables written in the shared folder: each cuts its lineage and survives the loss of an executor.
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths, self.labels = spark, {}, ""
+    While one is written, Python gets batches of about ``batch_bytes`` if given: texts lie in a batch several times over, in the JVM
+    and in Python.
+    """
+
+    def __init__(self, spark: SparkSession, batch_bytes: int | None = None):
+        self.spark, self.paths, self.labels, self.batch_bytes = spark, {}, "", batch_bytes
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        df.write.parquet(path)
+        path, conf = new_path(self.spark, name), self.spark.conf
+        before = conf.get(_BATCH, None)
+        try:
+            if self.batch_bytes:
+                conf.set(_BATCH, str(self.batch_bytes))
+            df.write.parquet(path)
+        finally:
+            if self.batch_bytes:
+                conf.unset(_BATCH) if before is None else conf.set(_BATCH, before)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -101,6 +115,25 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def sieve(rows: DataFrame, column: str, ids: DataFrame, words: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose ``column`` may be among ``ids`` (of one column), and those whose is not, which need no shuffle.
+
+    A bit for each hash of an id, in at most ``words`` words of 64, is broadcast.  All rows of such ids are in the first part;
+    how many others are there with them depends on ``words``, so a join must follow.
+    """
+
+    def place(c: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(c.cast("long"))
+        return F.pmod(h, F.lit(words)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+
+    word, bit = place(F.col(ids.columns[0]))
+    bits = ids.select(word.alias("_sieve_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_sieve_bits"))
+    bits = bits.groupBy("_sieve_word").agg(F.bit_or("_sieve_bits").alias("_sieve_bits"))
+    word, bit = place(rows[column])
+    hit = (word == bits["_sieve_word"]) & (F.call_function("shiftrightunsigned", bits["_sieve_bits"], bit).bitwiseAND(F.lit(1)) == 1)
+    return rows.join(F.broadcast(bits), hit, "left_semi"), rows.join(F.broadcast(bits), hit, "left_anti")
+
+
 def filesystem(uri: str):
     """(file system, path) of a URI or a plain path, for Python code on any machine."""
     from pyarrow import fs
@@ -108,10 +141,10 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict, pa.RecordBatch], dict | pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[dict, pa.RecordBatch], dict | pa.RecordBatch | None], schema: str, setup: Callable | None = None, lean: bool = False) -> DataFrame:
     """``mapInArrow`` with state: ``setup()`` runs once a task, ``fn(state, batch)`` gives the columns of one batch.
 
-    Empty batches and empty partitions are passed over.
+    Empty batches and empty partitions are passed over.  A ``lean`` one gives back at the end of each task what it held.
     """
     ship(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -125,7 +158,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict, pa.RecordBatch], dict | pa.Reco
             if b.num_rows and (cols := fn(state, b)) is not None:
                 yield cols if isinstance(cols, pa.RecordBatch) else record_batch(cols, out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run) if lean else run, schema)
 
 
 def give_back() -> None:

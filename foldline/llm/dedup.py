@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, doc_groups, group_words, mix64, raw, ship, with_docs
+from .common import Scratch, arrow_map, doc_groups, group_words, mix64, raw, ship, sieve, tidy, with_docs
 
 BANDS, ROWS, BITS = 20, 5, 4
 HASHES = BANDS * ROWS
@@ -94,8 +94,12 @@ def set_key(items: np.ndarray) -> bytes:
     return np.array([np.add.reduce(mix64(items + _B)), np.bitwise_xor.reduce(mix64(items * _A)) + np.uint64(len(items))], np.uint64).tobytes()
 
 
+#: Bytes of texts that are hashed together, and bytes in a batch for Python; they bound what a worker holds besides its result.
+TOGETHER, BATCH = 1 << 18, 4 << 20
+
+
 def shingle_sets(bodies: list[bytes], width: int = 3):
-    for lo, hi in doc_groups(bodies):
+    for lo, hi in doc_groups(bodies, TOGETHER):
         _, _, _, words, first = group_words(bodies[lo:hi])
         for k in range(hi - lo):
             yield shingles(words[first[k] : first[k + 1]], width)
@@ -120,7 +124,7 @@ def signatures(docs: DataFrame, width: int = 3) -> DataFrame:
                 sig.append(None)
         return {"doc_id": b.column(0), "n_shingles": count, "node": node, "bands": bands, "sig": sig}
 
-    return arrow_map(docs, run, SIGNATURES)
+    return arrow_map(docs, run, SIGNATURES, lean=True)
 
 
 def _close(a: str, b: str, least: int):
@@ -219,7 +223,7 @@ def confirm(pairs: DataFrame, bodies: DataFrame, percent: int, width: int) -> Da
         if left:
             yield table()
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -382,8 +386,12 @@ class Linker:
         return met.select(*_pair("node", "pivot"), group.alias("g"))
 
     def fetch(self, nodes: DataFrame) -> None:
-        """Texts, compressed, of classes (node, crowded); of rows of one doc_id only that of the class."""
+        """Texts, compressed, of classes (node, crowded); of rows of one doc_id only that of the class.
+
+        Classes in pairs are mostly few among all, so other texts are sieved out before any is shuffled.
+        """
         at, width = nodes.groupBy("node").agg(F.max("crowded").alias("crowded")).join(self.classes.select("node", F.col("first").alias("doc_id")), "node"), self.width
+        at = self.scratch.keep(at, "wanted")
 
         def own(_: dict, b: pa.RecordBatch) -> dict:
             press, names, texts = zstandard.ZstdCompressor(), b.column(0).to_pylist(), raw(b.column(1))
@@ -391,8 +399,10 @@ class Linker:
             return {"node": [names[k] for k in good], "body": [press.compress(texts[k]) for k in good], "crowded": b.column(2).take(pa.array(good, pa.int64()))}
 
         # Repeated rows have one doc_id, by which the join has brought them together.
-        met = self.docs.join(at, "doc_id").dropDuplicates(["doc_id", "node", "text"])
-        self.bodies = self.scratch.keep(arrow_map(met.select("node", "text", "crowded"), own, "node binary, body binary, crowded boolean"), "bodies")
+        asked, _ = sieve(self.docs, "doc_id", at.select("doc_id"))
+        met = asked.join(at, "doc_id").dropDuplicates(["doc_id", "node", "text"])
+        self.bodies = self.scratch.keep(arrow_map(met.select("node", "text", "crowded"), own, "node binary, body binary, crowded boolean", lean=True), "bodies")
+        self.scratch.drop("wanted")
         self.texts = self.bodies.drop("crowded")
 
     def named(self, nodes: DataFrame) -> DataFrame:
@@ -506,7 +516,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small
     gives no rows.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, BATCH)
     docs = with_docs(docs, doc_id, text)
     sigs = scratch.keep(signatures(docs, width), "signatures")
     rows = sigs.filter("node IS NOT NULL AND doc_id IS NOT NULL")
@@ -533,12 +543,14 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **s
     doc_id, and texts without words, all stay, as long as no other row has their doc_id.  An empty table gives no rows.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, **settings)
-    stay = found.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(stay, doc_id, "left_semi").select(*docs.columns)
-    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(doc_id))
+    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    ids = Scratch(docs.sparkSession).keep(ids.filter("NOT stays OR n > 1"), "not-as-they-are")
+    asked, clear = sieve(docs.filter(F.col(doc_id).isNotNull()), doc_id, ids.select("doc_id"))
+    name = F.col("doc_id").alias(doc_id)
     rank = "_n"
     while rank in {c.lower() for c in docs.columns}:
         rank = "_" + rank
     w = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), F.to_json(F.struct(*docs.columns)))
-    one = named.join(twice, doc_id, "left_semi").withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).select(*docs.columns)
-    return named.join(twice, doc_id, "left_anti").select(*docs.columns).unionByName(one).unionByName(docs.filter(F.col(doc_id).isNull()))
+    one = asked.join(ids.filter("stays").select(name), doc_id, "left_semi").withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).select(*docs.columns)
+    rest = asked.join(ids.select(name), doc_id, "left_anti").select(*docs.columns)
+    return clear.select(*docs.columns).unionByName(rest).unionByName(one).unionByName(docs.filter(F.col(doc_id).isNull()))

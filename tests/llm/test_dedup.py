@@ -161,3 +161,42 @@ def test_of_rows_with_one_id_the_least_stays(spark):
     rows = [(1, "b c d e f", 2), (1, "a b c d e", 3), (1, "a b c d e", 1), (2, None, 0), (2, None, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _n long")
     assert sorted((r["doc_id"], r["text"] or "", r["_n"]) for r in dedup.keep_one(df).collect()) == [(1, "a b c d e", 1), (2, "", 0)]
+
+
+def shuffled(spark) -> int:
+    """Bytes of shuffle that the stages so far have written."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jvm, gateway = sc._jvm, sc._gateway
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_that_meet_nothing_are_not_shuffled(spark):
+    """Of 300 texts of 6 kB two are alike and one has a repeated id; joins once shuffled all texts, and twice again to keep one."""
+    rng = np.random.default_rng(4)
+    rows = [(k, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 60, 400))) for k in range(300)]
+    rows += [(300, rows[40][1] + " more"), (50, rows[50][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        ids = sorted(r["doc_id"] for r in dedup.keep_one(df).collect())
+        after = shuffled(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert ids == list(range(300))
+    assert after - before < sum(len(t) for _, t in rows) / 4
+
+
+def test_hashing_texts_holds_little():
+    import tracemalloc
+
+    texts = [b" ".join(b"w%d" % (x * k % 99991) for x in range(700)) for k in range(1, 1000)]
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in dedup.shingle_sets(texts)) == 999
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
