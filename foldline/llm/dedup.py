@@ -551,6 +551,8 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **s
     while rank in {c.lower() for c in docs.columns}:
         rank = "_" + rank
     w = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), F.to_json(F.struct(*docs.columns)))
-    one = asked.join(ids.filter("stays").select(name), doc_id, "left_semi").withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).select(*docs.columns)
+    # Where ``docs`` is a union, the join goes under it, and Spark may then take rows of one id for being together when they aren't.
+    some = asked.join(ids.filter("stays").select(name), doc_id, "left_semi").repartition(doc_id)
+    one = some.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) == 1).select(*docs.columns)
     rest = asked.join(ids.select(name), doc_id, "left_anti").select(*docs.columns)
     return clear.select(*docs.columns).unionByName(rest).unionByName(one).unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -200,3 +200,19 @@ def test_hashing_texts_holds_little():
         assert tracemalloc.get_traced_memory()[1] < 24 << 20
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("most", ["-1", "10m"])
+def test_of_rows_with_one_id_in_a_union_the_least_stays(spark, tmp_path, most):
+    rows = [(k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    longer = docs.filter("doc_id % 4 = 0").selectExpr("doc_id", "text || ' and more' AS text")
+    no_text = docs.filter("doc_id % 6 = 0").selectExpr("doc_id", "cast(null AS string) AS text")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        got = dedup.keep_one(docs.filter("doc_id % 2 = 0").unionByName(longer).unionByName(no_text)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(map(tuple, got)) == rows[::2]
