@@ -10,12 +10,15 @@ joins the same documents does a missed one change the result.
 Buckets of up to ``small`` classes are compared in memory.  In larger ones every class meets a pivot; then the classes
 outside the bucket's main component meet all of it where they are few.  Where they are many, the bucket's classes are
 bucketed anew by their rarest shingles, so many of each that two sets of the threshold share one: what much of the bucket
-has in common brings nothing together any more.  In what is large even then, pivots go on until nothing is outside.  No pair
-of a bucket is left out.
+has in common brings nothing together any more.  What is large even then are classes that are alike, or nearly so; buckets
+that share classes are one group, whose classes outside its main component meet all of it in blocks of bounded size, each
+pair once, in one round however large the group is.  No pair of a bucket is left out.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -339,6 +342,78 @@ def prefix_keys(texts: DataFrame, counts: np.ndarray, percent: int, width: int,
     return texts.select("node", "body").mapInArrow(run, "key long, node binary, own boolean")
 
 
+def _ceil(size, each: int):
+    """Column: how many parts of ``each`` there are in ``size``."""
+    return F.ceil((F.col(size) if isinstance(size, str) else size) / each)
+
+
+def met_blocks(rows: DataFrame, percent: int, width: int, least: int) -> DataFrame:
+    """Links (a, b) of two blocks of classes (g, asks, node, label, sig, body, out): those that ask meet the others of their ``g``.
+
+    Shared shingles are counted by the block's postings, for all its classes at once, where low bits agree enough with any.  Two
+    that both ask meet once, by their order; classes of one label don't meet, nor are links given between what links already join.
+    """
+    ship(rows.sparkSession)
+
+    def run(batches):
+        unpress = zstandard.ZstdDecompressor()
+        now, held = None, {True: [], False: []}
+        left, right = [], []
+
+        def close() -> None:
+            asking, asked = held[True], held[False]
+            if not asking or not asked:
+                return
+            sizes = np.array([len(m[3]) for m in asked])
+            items, owner = np.concatenate([m[3] for m in asked]), np.repeat(np.arange(len(asked)), sizes)
+            order = np.argsort(items, kind="stable")
+            items, owner = items[order], owner[order]
+            sigs = np.array([m[2] for m in asked], np.int64)
+            number: dict[bytes, int] = {}
+            label = np.array([number.setdefault(m[1], len(number)) for m in asked])
+            rank = np.empty(len(asked), np.int64)
+            rank[sorted(range(len(asked)), key=lambda i: asked[i][0])] = np.arange(len(asked))
+            names, free = sorted(m[0] for m in asked), np.array([not m[4] for m in asked])
+            for node, own, sig, mine, _ in asking:
+                own = number.setdefault(own, len(number))
+                may = (matches(np.array(sig, np.int64), sigs) >= least) & (label != own) & (free | (rank >= bisect_right(names, node)))
+                may &= 100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine))
+                if not may.any():
+                    continue
+                lo, hi = np.searchsorted(items, mine, "left"), np.searchsorted(items, mine, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+                both = np.bincount(owner[at], minlength=len(asked))
+                for k in np.flatnonzero(may & (100 * both >= percent * (len(mine) + sizes - both))).tolist():
+                    if label[k] != own:
+                        left.append(min(node, asked[k][0]))
+                        right.append(max(node, asked[k][0]))
+                        gone = int(label[k])
+                        label[label == gone] = own
+                        for x, v in number.items():
+                            if v == gone:
+                                number[x] = own
+
+        for b in batches:
+            texts = [unpress.decompress(x) for x in b.column("body").to_pylist()]
+            columns = (b.column(c).to_pylist() for c in ("g", "asks", "node", "label", "sig", "out"))
+            for g, asks, node, label, sig, out, items in zip(*columns, shingle_sets(texts, width), strict=True):
+                if g != now:
+                    close()
+                    now, held = g, {True: [], False: []}
+                held[asks].append((node, label, sig, items, out))
+            if len(left) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                left, right = [], []
+        close()
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    # By number, as joining small partitions would leave this work to a few tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(tidy(run), "a binary, b binary")
+
+
 class Linker:
     """The links of classes (node, first, sig), found level by level; ``labels`` has the components so far."""
 
@@ -453,18 +528,41 @@ class Linker:
             self.link(confirm(rest, self.texts, self.percent, self.width))
         self.scratch.collect_garbage()
 
-    def outside(self, hot: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    def outside(self, hot: DataFrame) -> DataFrame:
         """Rows of hot buckets whose class is not of the bucket's main component, with their number there."""
         named = self.named(hot)
         counted = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("size").alias("size"))
         main = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.max("size").alias("size"))
         main = main.filter(F.col("all") > F.col("m.n")).select("key", "size", F.col("m.label").alias("main"))
         out = self.spread(named, main).filter("label != main").drop("label", "main")
-        if tried is not None:
-            out = out.join(tried, ["key", "node"], "left_anti")
         left = out.groupBy("key").agg(F.count("*").alias("outside"), F.max("size").alias("size"))
         return self.spread(out, left)
 
+    def blocks(self, deep: DataFrame, block_bytes: int = 1 << 20) -> None:
+        """Link what large buckets (key, node, sig) leave apart, at once: buckets that share classes are one group, and the classes
+        outside a group's main component meet all of it, by blocks of about ``block_bytes`` of compressed texts, theirs half as large.
+        """
+        least = deep.groupBy("key").agg(F.min("node").alias("b"))
+        edges = deep.select("key", F.col("node").alias("a")).join(least, "key").select("a", "b").distinct()
+        before = self.scratch.labels
+        groups = components(edges, self.scratch, "groups")
+        groups_at, self.scratch.labels = self.scratch.labels, before
+        rows = self.named(groups.withColumnRenamed("label", "top")).join(self.texts, "node").join(self.classes.select("node", "sig"), "node")
+        rows = self.scratch.keep(rows.select("top", "node", "label", "sig", "body"), "grouped")
+        self.scratch.drop(groups_at)
+        counted = rows.groupBy("top", "label").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("bytes"))
+        main = counted.groupBy("top").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("n", "label")).alias("main_bytes"))
+        main = main.filter(F.col("all") > F.col("m.n")).select("top", F.col("m.label").alias("main"), _ceil("bytes", block_bytes).alias("ys"), _ceil(F.col("bytes") - F.col("main_bytes"), block_bytes // 2).alias("xs"))
+        met = rows.join(main, "top").withColumn("out", F.col("label") != F.col("main"))
+        cut = lambda n: F.pmod(F.xxhash64("node"), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        take = [F.col(c) for c in ("node", "label", "sig", "body", "out")]
+        asking = met.filter("out").select(F.col("top"), cut(F.col("xs")).alias("x"), every("ys").alias("y"), F.lit(True).alias("asks"), *take)
+        asked = met.select(F.col("top"), every("xs").alias("x"), cut(F.col("ys")).alias("y"), F.lit(False).alias("asks"), *take)
+        pairs = asking.unionByName(asked).select(F.xxhash64("top", "x", "y").alias("g"), "asks", *take)
+        self.link(met_blocks(pairs, self.percent, self.width, self.least))
+        self.scratch.drop("grouped")
+
     def level(self, rows: DataFrame, name: str) -> DataFrame:
         """Links of buckets: one a class first, as it mostly joins a group, then what is still apart.  Gives the hot rows."""
         pairs, hot = self.candidates(rows, name)
@@ -494,18 +592,8 @@ class Linker:
                 nodes = hot.join(F.broadcast(many) if self.scratch.few(many) else many, "key", "left_semi").select("node")
                 crowded = self.scratch.keep(self.texts.join(nodes, "node", "left_semi"), "crowded")
                 deep = self.level(prefix_keys(crowded, shingle_counts(crowded, self.width), self.percent, self.width), "prefixes")
-                tried, k = None, 0
-                while deep.limit(1).count():
-                    k += 1
-                    out = self.scratch.keep(self.outside(deep, tried), f"deep-{k}")
-                    if not out.limit(1).count():
-                        break
-                    some = out.groupBy("key", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(self.small)).alias("salt")).agg(F.min(F.struct("node", "sig")).alias("p"), F.max("size").alias("size"))
-                    some = self.scratch.keep(some.select("key", "size", F.col("p.node").alias("pivot"), F.col("p.sig").alias("pivot_sig")), f"pivots-{k}")
-                    self.scratch.drop(f"deep-{k}")
-                    self.test(once(self.meet(deep, some)))
-                    now = some.select("key", F.col("pivot").alias("node"))
-                    tried = now if tried is None else tried.unionByName(now)
+                if deep.limit(1).count():
+                    self.blocks(deep)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85, width: int = 3, small: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

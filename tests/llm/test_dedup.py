@@ -129,6 +129,38 @@ def test_documents_that_share_a_passage_are_not_compared_all_with_all(spark, mon
     assert sum(asked) < 2000
 
 
+def test_a_large_group_of_noisy_copies_takes_no_more_rounds(spark, monkeypatch):
+    """Many copies are too far from the others to join them; by pivots, each ``small`` of those took a round of its own."""
+    rng = np.random.default_rng(5)
+    base, rows = [f"p{i}" for i in range(120)], []
+    for k in range(240):
+        w = list(base)
+        for p in rng.choice(120, k % 8, replace=False):
+            w[p] = f"edit{rng.integers(0, 60)}"
+        rows.append((k, " ".join(w)))
+    rounds, confirm = [], dedup.confirm
+    monkeypatch.setattr(dedup, "confirm", lambda *args: rounds.append(1) or confirm(*args))
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=2).collect()
+    assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in found) == brute(rows)
+    assert len(rounds) <= 4
+
+
+def test_blocks_meet_each_pair_once_and_give_few_links(spark):
+    """Two that both ask, one of another label that all are like, and one alike to nothing."""
+    import zstandard
+
+    words = [f"w{i}" for i in range(60)]
+    bodies = [" ".join([*words, f"end{k}"]) for k in range(4)] + [" ".join(f"z{i}" for i in range(60))]
+    nodes = [dedup.set_key(x) for x in dedup.shingle_sets([b.encode() for b in bodies])]
+    sig = [dedup.pack_low(dedup.minima(x)).tolist() for x in dedup.shingle_sets([b.encode() for b in bodies])]
+    press = zstandard.ZstdCompressor()
+    one = lambda k, asks: (1, asks, nodes[k], nodes[k] if k not in (2, 3) else nodes[3], sig[k], press.compress(bodies[k].encode()), k not in (2, 3))
+    df = spark.createDataFrame([one(k, True) for k in (0, 1, 4)] + [one(k, False) for k in range(5)], "g long, asks boolean, node binary, label binary, sig array<long>, body binary, out boolean")
+    got = {frozenset(nodes.index(bytes(x)) for x in r) for r in dedup.met_blocks(df, 85, 3, dedup.least_matches(85)).collect()}
+    assert len(got) == 2 and all(len(x) == 2 and 4 not in x and x != {2, 3} for x in got)
+    assert {0, 1} <= set().union(*got) and set().union(*got) & {2, 3}
+
+
 def test_alike_texts_share_a_key_that_the_smaller_owns(spark):
     import zstandard
 
