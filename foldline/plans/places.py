@@ -47,8 +47,8 @@ def enrich(places: DataFrame, claimed: list[str] | None = None) -> DataFrame:
 
 def nearest(points: DataFrame, enriched: DataFrame, *, key: str, lat: str, lon: str, limit: int = 1) -> DataFrame:
     """The best places of each point, by the near box where it has any, else by the far one."""
-    pairs = near_pairs(points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")), enriched.select("city", "state", "country", "latitude", "longitude", "has_marks", "display_name", "full_name", "folder_name"), key=key, lat="_lat", lon="_lon", delta=FAR_DEGREES)
     ties = ["city", "state", "country"]
+    pairs = near_pairs(points.select(key, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")), enriched.select("city", "state", "country", "latitude", "longitude", "has_marks", "display_name", "full_name", "folder_name"), key=key, lat="_lat", lon="_lon", delta=FAR_DEGREES, ties=ties)
     near = pairs.filter((F.abs(F.col("latitude") - F.col("_lat")) <= NEAR_DEGREES) & (F.abs(F.col("longitude") - F.col("_lon")) <= NEAR_DEGREES))
     by_near = candidates(near, key=key, limit=limit, marks="has_marks", ties=ties).withColumn("_far", F.lit(0))
     by_far = candidates(pairs, key=key, limit=limit, marks="has_marks", ties=ties).withColumn("_far", F.lit(1))

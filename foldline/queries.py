@@ -452,7 +452,7 @@ def _points(s, d):
 )
 def nearest_place(s, d):
     q, c = _points(s, d)
-    pairs = nearest.near_pairs(q.select("vec_id", "lat", "lon"), c, key="vec_id", lat="lat", lon="lon")
+    pairs = nearest.near_pairs(q.select("vec_id", "lat", "lon"), c, key="vec_id", lat="lat", lon="lon", ties=["place_id"])
     got = nearest.candidates(pairs, key="vec_id", limit=3, marks="marks", ties=["place_id"])
     return got.select("vec_id", "place_id", "place", F.col("rank").cast("long").alias("rank"), F.round("dist_km", 4).alias("km"))
 

@@ -227,6 +227,22 @@ def test_a_dense_town_beside_open_country(spark):
     assert pick(few) == pick(all_) and few.count() < all_.count()
 
 
+def test_pairs_of_near_places_follow_the_points_not_their_density(spark):
+    """Many places within the fine box, many at one spot: a point meets few of them, and the nearest stay the same."""
+    import random
+
+    from foldline.operators import nearest
+
+    rng = random.Random(4)
+    spots = [(10 + rng.gauss(0, 0.02), 20 + rng.gauss(0, 0.02)) for _ in range(700)] + [(10.4, 20.1), (-0.0, 0.0), (0.0, 0.0)]
+    at = spots + [(10.01, 20.01)] * 300 + [(10 + rng.uniform(-0.5, 0.5), 20 + rng.uniform(-0.5, 0.5)) for _ in range(100)]
+    c = spark.createDataFrame([(i, "x", y, x, i % 3 == 0) for i, (y, x) in enumerate(at)], "place_id long, name string, latitude double, longitude double, marks boolean")
+    p = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate(at[::4] + [(10.45, 20.45), (50.0, 50.0)])], "k long, lat double, lon double")
+    pick = lambda pairs: {(r["k"], r["place_id"], r["rank"]) for r in nearest.candidates(pairs, key="k", limit=3, marks="marks", ties=["place_id"]).collect()}
+    few, all_ = nearest.near_pairs(p, c, key="k", lat="lat", lon="lon", ties=["place_id"]), nearest.box_pairs(p, c, lat="lat", lon="lon")
+    assert pick(few) == pick(all_) and few.count() * 3 < all_.count()
+
+
 def test_what_was_cut_can_be_deleted(spark):
     from foldline.sources import shared
 
